@@ -99,3 +99,8 @@ j AS (SELECT d.doc_id, d.size, r.source_size, r.target, d.source,
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM j
 """
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of the mix: each document as often as its source's rate and its draw say."""
+    return mixed(docs)
