@@ -8,13 +8,15 @@ all within one edit, so keeping the least place of each key loses no pair. Every
 by edit distance against the earlier line, and a line with an earlier partner is removed.
 
 Variants are emitted only by lines that can have a partner: two lines within one edit of each other have the
-same first half or the same last half (lengths by the shorter one), so halves are hashed and counted
-first. Keys hash the text before and after a block of BLOCK characters once a block, so a line of n
-characters costs n * n / BLOCK steps rather than n * n.
+same first half or the same last half (lengths by the shorter one), and agree before and after the block
+of BLOCK characters that the edit is in; both are hashed and counted first, and only blocks that another
+line shares all the rest of emit their variants, so a line of n characters costs n * n / BLOCK steps at most.
+
+Lines travel as two hashes, never as texts, but for those that can have a partner.
 
 Defined results: null text stays null; lines shorter than LEAST normalised characters are never
-removed; the order of lines is that of (doc_id, line number), null ids last; rows that repeat an id
-are told apart by a hash of their texts, and exact repeats of a row share their decisions.
+removed; the order of lines is that of (id, line number), null ids last and as one document;
+rows that repeat an id are one document, whose first place of a line stays in each of them.
 """
 
 from __future__ import annotations
@@ -26,17 +28,31 @@ from ..storage import written
 from .common import let, read
 
 LEAST, BLOCK = 20, 64
+LAST = (1 << 63) - 1
+
+
+def normal(text: Column) -> Column:
+    """The normalised lines of a text."""
+    plain = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
 
 
-def normal(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
+def hashed(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row a line: place (id, hash of the text, number), its hash, its normalised text."""
-    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), normal(F.split(text_col, "\n", -1)).alias("lines"))
-    d = d.select("id", "t", F.posexplode("lines").alias("k", "line")).where(F.length("line") >= LEAST)
-    return d.select(F.struct(F.col("id").isNull().alias("late"), "id", "t", "k").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.reverse("line")).alias("h2"), "line")
+    """A row a line: id, number k, hashes h and h2, whether it is the first of its kind in the row, hashes of its halves."""
+
+    def own(lines):
+        def rows(all_h):
+            same = F.size(F.array_distinct(all_h)) == F.size(all_h)
+            return F.transform(lines, lambda x, k: F.when(F.length(x) >= LEAST, F.struct(k.alias("k"), hashed(x).alias("x"), (same | (F.array_position(all_h, F.get(all_h, k)) == k + 1)).alias("first"), halves(x).alias("halves"))))
+
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), rows)
+
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.explode(F.array_compact(let(normal(F.col(text_col)), own))).alias("l"))
+    return d.select("id", "l.k", "l.x.h", "l.x.h2", "l.first", "l.halves")
 
 
 def halves(line: Column) -> Column:
@@ -51,57 +67,71 @@ def halves(line: Column) -> Column:
     return let(F.length(line), keys)
 
 
-def variants(line: Column) -> Column:
-    """Hashed keys (place of the edit, string without one character at it) of a line and of what lacks one of its characters."""
+def blocks(line: Column) -> Column:
+    """array<struct<key, own, x>>: what stands before and after each block of BLOCK characters, hashed with its place, and the block.
 
-    def of_block(n, s, own):
-        # own: the line itself as the shorter one, whose block lacks the character; else each character is taken out
-        lack = F.lit(BLOCK - 1) if own else F.lit(BLOCK)
-        before, block, after = F.substring(line, F.lit(1), s), F.substring(line, s + 1, lack), F.substring(line, s + lack + 1, n)
-        h = F.struct(F.xxhash64(before).alias("b"), F.xxhash64(after).alias("a"), block.alias("x"))
+    A line is cut once as it is, for partners as long or shorter, and once (own) with blocks that lack a
+    character, for partners that have one more.
+    """
 
-        def made(h):
-            at = F.sequence(F.lit(0), F.length(h["x"])) if own else F.sequence(F.lit(0), F.length(h["x"]) - 1)
-            cut = lambda i: h["x"] if own else F.concat(F.substring(h["x"], F.lit(1), i), F.substring(h["x"], i + 2, F.lit(BLOCK)))
-            return F.transform(at, lambda i: F.xxhash64(s, i, h["b"], h["a"], cut(i)))
+    def cut(n, s, own):
+        lack = BLOCK - 1 if own else BLOCK
+        return F.struct(F.xxhash64(s, F.substring(line, F.lit(1), s), F.substring(line, s + lack + 1, n)).alias("key"), F.lit(own).alias("own"), F.substring(line, s + 1, F.lit(lack)).alias("x"))
 
-        return let(h, made)
+    def starts(n):
+        return F.sequence(F.lit(0), n, F.lit(BLOCK))
+
+    return let(F.length(line), lambda n: F.concat(F.transform(starts(n - 1), lambda s: cut(n, s, False)), F.transform(starts(n), lambda s: cut(n, s, True))))
+
+
+def variants(key: Column, own: Column, x: Column) -> Column:
+    """Hashed keys of the block's strings that lack one character, with its place; of an own block, itself at every place."""
+    lacking = F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - 1, F.lit(0))), lambda i: F.xxhash64(key, i, F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.lit(BLOCK)))))
+    itself = F.transform(F.sequence(F.lit(0), F.length(x)), lambda i: F.xxhash64(key, i, x))
+    return F.when(own, itself).otherwise(lacking)
 
-    def keys(n):
-        starts = lambda m: F.sequence(F.lit(0), m, F.lit(BLOCK))
-        return F.flatten(F.concat(F.transform(starts(n - 1), lambda s: of_block(n, s, False)), F.transform(starts(n), lambda s: of_block(n, s, True))))
 
-    return F.array_distinct(let(F.length(line), keys))
+def near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, h2): kinds(h, h2, first) within one edit of a kind with an earlier place."""
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
+    d = d.join(kinds.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    d = d.select("id", F.posexplode(normal(F.col("text"))).alias("k", "line")).select(F.col("id").alias("first"), "k", "line", hashed(F.col("line")).alias("x"))
+    texts = d.select("first", "k", "line", "x.h", "x.h2").join(kinds, ["first", "h", "h2"]).groupBy("h", "h2", "line").agg(F.min(F.struct("first", "k")).alias("place"))
+    texts = written(texts)
+    cut = texts.select("h", "h2", "place", F.explode(blocks(F.col("line"))).alias("b")).select("h", "h2", "place", "b.key", "b.own", "b.x")
+    shared = cut.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("key")
+    keyed = cut.join(shared, "key", "left_semi").select("h", "h2", "place", F.explode(variants(F.col("key"), F.col("own"), F.col("x"))).alias("key"))
+    least = keyed.groupBy("key").agg(F.min(F.struct("place", "h", "h2")).alias("least"), F.count("*").alias("m")).where("m > 1").select("key", "least")
+    earlier = keyed.join(least, "key").where(F.col("least.place") < F.col("place")).groupBy("h", "h2").agg(F.min("least").alias("least"))
+    before = texts.select(F.col("h").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("before"))
+    pairs = earlier.join(texts, ["h", "h2"]).join(before, (F.col("least.h") == F.col("e1")) & (F.col("least.h2") == F.col("e2")))
+    return pairs.where(F.levenshtein("line", "before", 1) >= 0).select("h", "h2", F.lit(True).alias("near"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, k, near): lines to remove; near says that an edit lies between."""
-    lines = placed(docs, id_col, text_col)
-    first = lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.any_value("line").alias("line"))
-    kinds = written(first)
-    halved = kinds.select("h", "h2", F.explode(halves(F.col("line"))).alias("half"))
-    shared = halved.groupBy("half").agg(F.count("*").alias("m")).where("m > 1").select("half")
+    """(id, gone, n_near): numbers of each document's lines to remove, and how many have an edit between."""
+    lines = written(placed(docs, id_col, text_col))
+    once = lines.where("first")
+    halved = once.select("h", "h2", F.explode("halves").alias("half"))
+    shared = halved.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
     able = halved.join(shared, "half", "left_semi").select("h", "h2").distinct()
-    keyed = kinds.join(able, ["h", "h2"], "left_semi").select("h", "h2", F.col("first").alias("own"), F.explode(variants(F.col("line"))).alias("key"))
-    least = keyed.groupBy("key").agg(F.min(F.struct("own", "h", "h2")).alias("least"), F.count("*").alias("m")).where("m > 1").select("key", "least")
-    earlier = keyed.join(least, "key").where(F.col("least.own") < F.col("own")).groupBy("h", "h2").agg(F.min("least").alias("least"))
-    texts = kinds.select(F.col("h").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("before"))
-    pairs = earlier.join(kinds, ["h", "h2"]).join(texts, (F.col("least.h") == F.col("e1")) & (F.col("least.h2") == F.col("e2")))
-    near = written(pairs.where(F.levenshtein("line", "before", 1) >= 0).select("h", "h2", F.lit(True).alias("near")))
-    marked = kinds.select("h", "h2", "first", "n").join(near, ["h", "h2"], "left").where("n > 1 OR near").drop("n")
-    gone = lines.drop("line").join(marked, ["h", "h2"]).where((F.col("place") != F.col("first")) | F.col("near"))
-    return gone.select("place.id", "place.t", "place.k", F.coalesce("near", F.lit(False)).alias("near"))
+    kinds = written(once.groupBy("h", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    close = written(near(docs, kinds.join(able, ["h", "h2"], "left_semi").select("h", "h2", F.col("first")), id_col, text_col))
+    marked = kinds.join(close, ["h", "h2"], "left").where("n > 1 OR near").select("h", "h2", F.col("first").alias("at"), F.coalesce("near", F.lit(False)).alias("near"))
+    again = lines.where(~F.col("first")).select("id", "k", F.lit(False).alias("near"))
+    gone = once.select("id", "k", "h", "h2").join(marked, ["h", "h2"]).where((F.col("id") != F.col("at")) | F.col("near")).select("id", "k", "near")
+    return gone.union(again).groupBy("id").agg(F.collect_set("k").alias("gone"), F.count_if("near").alias("n_near"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col without the removed lines, and __lines, __removed, __near: numbers of lines."""
-    gone = removals(docs, id_col, text_col).groupBy("id", "t").agg(F.collect_set("k").alias("__gone"), F.count_if("near").alias("__near"))
+    gone = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
     text = F.col(f"`{text_col}`")
-    d = docs.withColumn("__t", F.xxhash64(text))
-    d = d.join(gone, F.col(f"`{id_col}`").eqNullSafe(gone["id"]) & (d["__t"] == gone["t"]), "left").drop("id", "t") if "id" not in docs.columns and "t" not in docs.columns else d.join(gone.withColumnsRenamed({"id": "__id", "t": "__t2"}), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__t2")), "left").drop("__id", "__t2")
+    d = docs.join(gone, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)) == F.col("__id"), "left")
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    d = d.withColumn("__lines", F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).cast("long")).withColumn("__removed", F.greatest(F.size("__gone"), F.lit(0)).cast("long")).withColumn("__near", F.coalesce("__near", F.lit(0)).cast("long"))
-    return d.withColumn(text_col, kept).drop("__gone", "__t")
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    d = d.withColumn("__lines", F.coalesce(n, F.lit(0)).cast("long")).withColumn("__removed", F.when(text.isNull(), F.lit(0)).otherwise(F.greatest(F.size("__gone"), F.lit(0))).cast("long")).withColumn("__near", F.coalesce("__near", F.lit(0)).cast("long"))
+    return d.withColumn(text_col, kept).drop("__gone", "__id")
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from .common import read
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts that the table of a worker keeps before it starts anew.
-KEPT = 300_000
+#: Parts in each of the two tables of a worker; when the newer one is full it becomes the older one.
+KEPT = 400_000
 
 
 class Coder:
@@ -57,7 +57,8 @@ class Coder:
         self.alone = {c for c in "\n\t\r" if c not in known}
         stop = re.escape("".join(sorted(self.alone)))
         self.split = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|[{stop}]" * bool(stop)).findall if apart else lambda s: [s]
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def spelt(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()]
@@ -99,10 +100,11 @@ class Coder:
             for x in self.split(("" if k else MARK) + run.replace(" ", MARK)):
                 ids = kept.get(x)
                 if ids is None:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    ids = self.part(x)
+                    ids = self.older.get(x) or tuple(self.part(x))
                     if len(x) < 64:
+                        if len(kept) >= KEPT:
+                            self.older, self.kept = kept, {}
+                            kept = self.kept
                         kept[x] = ids
                 out += ids
         return out
