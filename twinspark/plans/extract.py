@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import textwrap
 
 from pyspark.sql import DataFrame
 
@@ -57,7 +56,8 @@ def functions_of(path: str, source: str | None) -> list[dict]:
 
     def row(f, cls, nested):
         body = [x for i, x in enumerate(f.body) if not (i == 0 and isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) and isinstance(x.value.value, str))]
-        bare = ast.parse(textwrap.dedent(ast.unparse(ast.FunctionDef("f", f.args, body or [ast.Pass()], [], None, None, type_params=[]))))
+        bare = ast.fix_missing_locations(ast.FunctionDef("f", f.args, body or [ast.Pass()], [], None, None, type_params=[]))
+        bare = ast.parse(ast.unparse(bare))
         tokens = ast.dump(_Plain().visit(bare), annotate_fields=False).replace("(", " ( ").replace(")", " ) ").replace(",", " ")
         tokens = " ".join(tokens.split())
         bases = {ast.unparse(b).split(".")[-1] for b in cls.bases} if cls else set()
