@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """Streams get a watermark, which needs a time with a zone."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def trailing(events: DataFrame, key: str, ts: str = "ts", gap: str = "1500 milliseconds", late: str = "10 minutes") -> DataFrame:
     """The last event of each burst of a key: bursts end after `gap` without an event."""
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = timed(events, ts, late)
     s = d.groupBy(F.session_window(ts, gap).alias("burst"), key).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n"))
     return s.select(key, "last_ts", "n")
 
 
 def tumbling(events: DataFrame, kind: str, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = timed(events, ts, late)
     return d.groupBy(F.window(ts, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
