@@ -6,10 +6,13 @@ Documents of equal sets are one class; class representatives that agree in a ban
 candidates; candidates whose collision-corrected estimate can reach the threshold are verified on full
 sets, and components of the verified links are returned.
 
-No bucket's pairs are all emitted. First every member is compared with a few pivots of its
-bucket; a group of true copies becomes one component by that. Then members outside the largest
-component of their bucket are compared with the members of other components there, each with
-the estimate as a condition of the join, so what is left over is searched exhaustively.
+No bucket's pairs are all emitted. First every member is compared with two pivots of its bucket; a
+group of true copies becomes one component by that. A component has a hub, its member of most links.
+Members outside the largest component of their bucket are then compared with the hubs of the other
+components there: a link to a hub joins the two. Without one, the Jaccard distance being a metric, a
+member y can only be linked with x if its distance to the hub is not less than x's less the bound of
+a link, and just those y are compared with x, under the estimate. So what is left over is searched
+exhaustively.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as one; rows that repeat an id or a text
@@ -18,8 +21,6 @@ fall into one class; a null id stays out of components (component null, kept).
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,6 @@ from .common import read
 BANDS, ROWS, MANTISSA = 25, 5, 10
 BUCKETS = BANDS * ROWS
 EMPTY = -1
-#: Members of a bucket that all others are compared with: the least, the greatest and some by hash.
-PIVOTS = 4
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 
@@ -112,7 +111,7 @@ def band_keys(regs: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.array_max(b) != EMPTY, F.xxhash64(F.lit(k), b)) for k, b in enumerate(bands)]))
 
 
-def may_reach(a: Column, b: Column, threshold: float) -> Column:
+def may_reach(a: Column, b: Column, threshold: Column) -> Column:
     """Whether the Jaccard index estimated from registers may be the threshold.
 
     Equal registers over those that either has, less the chance that different least hashes share
@@ -125,16 +124,67 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     def enough(s):  # s = 1000 * equal + used
         equal, used = F.floor(s / 1000), s % 1000
         estimate = (equal / used - chance) / (1 - chance)
-        return estimate >= threshold - SLACK * math.sqrt(threshold * (1 - threshold)) / F.sqrt(used)
+        return estimate >= threshold - SLACK * F.sqrt(threshold * (1 - threshold) / used)
 
     return F.get(F.transform(F.array(both), enough), 0)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets have 100 * intersection >= percent * union."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) with `common` and `all`, the sizes of the full sets' intersection and union."""
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return p.withColumn("common", common).where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    p = p.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return p.withColumn("all", F.size("x") + F.size("y") - F.col("common")).drop("x", "y")
+
+
+def is_link(percent: int) -> Column:
+    return F.lit(100) * F.col("common") >= F.lit(percent) * F.col("all")
+
+
+def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Further links(a, b), such that components of these and `links` are those of all links."""
+    t, far = F.lit(percent / 100), 1 - percent / 100
+
+    def sized(a: Column, b: Column, least: Column) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
+
+    m = members.select("key", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = m.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    open_ = written(m.join(main, "key"))
+
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    inside = parts_.join(degrees, "node").groupBy("component").agg(F.max_by("node", F.struct("links", -F.col("node"))).alias("hub"))
+    own = open_.select("rep", "component").distinct().join(inside, "component")
+    away = measured(own.where("rep <> hub").select("component", F.col("rep").alias("a"), F.col("hub").alias("b")), sets)
+    away = written(away.select(F.col("a").alias("rep"), "component", (1 - F.col("common") / F.col("all")).alias("away")))
+    radius = away.groupBy("component").agg(F.max("away").alias("radius"))
+    # a component of one is its own hub
+    hubs = open_.select("component").distinct().join(inside, "component", "left").join(radius, "component", "left")
+    hubs = hubs.select(F.col("component").alias("yc"), F.coalesce("hub", "component").alias("hub"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    hubs = written(hubs.join(known.select(F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("regs").alias("hg")), "hub"))
+
+    x = open_.where("component <> main").select("key", F.col("rep").alias("xr"), F.col("component").alias("xc"))
+    x = x.join(known.select(F.col("rep").alias("xr"), F.col("n").alias("xn"), F.col("regs").alias("xg")), "xr")
+    there = open_.select("key", F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("inner")).distinct().join(hubs, "yc")
+    least = F.greatest(t - F.col("radius"), F.lit(0.0))
+    other = (x["key"] == there["key"]) & (F.col("xc") != F.col("yc")) & (F.col("inner") | (F.col("xc") < F.col("yc")))
+    met = x.join(there, other & sized(F.col("xn"), F.col("hn"), least) & may_reach(F.col("xg"), F.col("hg"), least))
+    met = met.select("yc", "radius", F.col("xr").alias("a"), F.col("hub").alias("b")).distinct()
+    met = written(measured(met, sets))
+    near = ordered(met.where(is_link(percent)), "a", "b")
+
+    # distances that leave room for a member nearer to x than the hub
+    room = met.where(~is_link(percent)).withColumn("least", 1 - F.col("common") / F.col("all") - far - 1e-9).where("least <= radius AND radius > 0")
+    x = x.drop("xc").join(room.select(F.col("a").alias("xr"), "yc", "least"), "xr")
+    y = open_.select("key", F.col("rep").alias("yr"), F.col("component").alias("c")).join(away.where("away > 0").select(F.col("rep").alias("yr"), "away"), "yr")
+    y = y.join(known.select(F.col("rep").alias("yr"), F.col("n").alias("yn"), F.col("regs").alias("yg")), "yr")
+    same = (x["key"] == y["key"]) & (F.col("yc") == F.col("c")) & (F.col("away") >= F.col("least"))
+    pairs = ordered(x.join(y, same & sized(F.col("xn"), F.col("yn"), t) & may_reach(F.col("xg"), F.col("yg"), t)), "xr", "yr")
+    return near.union(measured(pairs, sets).where(is_link(percent)).select("a", "b"))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -143,33 +193,19 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sigs = written(d.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, regs array<short>"))
     classes = written(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
     keys = classes.select("rep", F.explode(band_keys(F.col("regs"))).alias("key"))
-    chosen = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS - 2)]
-    pivots = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high"), *chosen).where("m > 1")
-    members = written(keys.join(pivots, "key").select("key", "rep", F.array_distinct(F.array("low", "high", *[f"p{k}" for k in range(PIVOTS - 2)])).alias("pivots")))
+    pivots = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.min_by("rep", F.xxhash64("rep")).alias("drawn")).where("m > 1")
+    members = written(keys.join(pivots, "key").select("key", "rep", F.array_distinct(F.array("low", "drawn")).alias("pivots")))
     known = classes.select("rep", "n", "regs")
-    t = percent / 100
-
-    def sized(a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    first = members.select("rep", F.explode("pivots").alias("p")).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    first = ordered(members.select("rep", F.explode("pivots").alias("p")).where("rep <> p"), "rep", "p")
     left = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    first = written(first.join(left, "a").join(right, "b").where(sized(F.col("na"), F.col("nb")) & may_reach(F.col("ra"), F.col("rb"), t)).select("a", "b"))
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & may_reach(F.col("ra"), F.col("rb"), F.lit(percent / 100))
+    first = first.join(left, "a").join(right, "b").where(fits).select("a", "b")
     reps = members.select("rep").distinct()
     sets = written(d.join(reps, d["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, items array<long>"))
-    links = written(linked(first, sets, percent))
+    links = written(measured(first, sets).where(is_link(percent)).select("a", "b"))
     parts_ = components(links)
-
-    m = members.select("key", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = m.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    open_ = written(m.join(main, "key").join(known, "rep"))
-    x = open_.where("component <> main").select("key", F.col("rep").alias("xr"), F.col("component").alias("xc"), F.col("n").alias("xn"), F.col("regs").alias("xg"))
-    y = open_.select("key", F.col("rep").alias("yr"), F.col("component").alias("yc"), F.col("n").alias("yn"), F.col("regs").alias("yg"), (F.col("component") == F.col("main")).alias("inner"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xc") != F.col("yc")) & (F.col("inner") | (F.col("xr") < F.col("yr"))) & sized(F.col("xn"), F.col("yn")) & may_reach(F.col("xg"), F.col("yg"), t))
-    pairs = pairs.select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(linked(pairs, sets, percent))
+    more = written(left_over(members, parts_, links, known, sets, percent))
     if more.limit(1).count():
         parts_ = components(links.union(more))
 
