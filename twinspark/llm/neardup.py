@@ -11,8 +11,9 @@ group of true copies becomes one component by that. A component has a hub, its m
 Members outside the largest component of their bucket are then compared with the hubs of the other
 components there: a link to a hub joins the two. Without one, the Jaccard distance being a metric, a
 member y can only be linked with x if its distance to the hub is not less than x's less the bound of
-a link, and just those y are compared with x, under the estimate. So what is left over is searched
-exhaustively.
+a link. Such an x and y share at least a known part of what each differs in from the hub, so they meet
+on one of the first of those items (in one order for all) or are no link: a join on exact sets, which
+leaves no link out. Items that the hub lacks come first in that order, as fewest share them.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as one; rows that repeat an id or a text
@@ -129,11 +130,25 @@ def may_reach(a: Column, b: Column, threshold: Column) -> Column:
     return F.get(F.transform(F.array(both), enough), 0)
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) with `common` and `all`, the sizes of the full sets' intersection and union."""
+def measured(pairs: DataFrame, sets: DataFrame, *kept: Column) -> DataFrame:
+    """pairs(a, b, ...) with `common` and `all`, the sizes of the full sets' intersection and union, and columns of x and y, the sets."""
     p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
     p = p.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return p.withColumn("all", F.size("x") + F.size("y") - F.col("common")).drop("x", "y")
+    return p.select("*", (F.size("x") + F.size("y") - F.col("common")).alias("all"), *kept).drop("x", "y")
+
+
+#: What a (x) has over its hub (y), and what it lacks of it, each in the order of their hashes.
+GAINED = F.array_sort(F.array_except("x", "y")).alias("gained")
+LACKED = F.array_sort(F.array_except("y", "x")).alias("lacked")
+ON = F.size("x").alias("n")
+
+
+def heads(d: DataFrame, shared: Column) -> DataFrame:
+    """A row for each of the first items of gained, then lacked: as many as leave under `shared` items after them."""
+    items = F.concat("gained", "lacked")
+    d = d.withColumn("g", F.size("gained")).withColumn("l", F.size("lacked"))
+    d = d.withColumn("items", F.slice(items, F.lit(1), F.greatest(F.col("g") + F.col("l") + 1 - shared, F.lit(0)).cast("int")))
+    return d.select("component", "rep", "n", "g", "l", F.posexplode("items").alias("at", "item"))
 
 
 def is_link(percent: int) -> Column:
@@ -159,8 +174,9 @@ def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, known: Da
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     inside = parts_.join(degrees, "node").groupBy("component").agg(F.max_by("node", F.struct("links", -F.col("node"))).alias("hub"))
     own = open_.select("rep", "component").distinct().join(inside, "component")
-    away = measured(own.where("rep <> hub").select("component", F.col("rep").alias("a"), F.col("hub").alias("b")), sets)
-    away = written(away.select(F.col("a").alias("rep"), "component", (1 - F.col("common") / F.col("all")).alias("away")))
+    away = measured(own.where("rep <> hub").select("component", F.col("rep").alias("a"), F.col("hub").alias("b")), sets, GAINED, LACKED, ON)
+    away = written(away.select(F.col("a").alias("rep"), "component", (1 - F.col("common") / F.col("all")).alias("away"), "n", "gained", "lacked"))
+    most = away.groupBy("component").agg(F.max(F.size("gained") + F.size("lacked")).alias("most"))
     radius = away.groupBy("component").agg(F.max("away").alias("radius"))
     # a component of one is its own hub
     hubs = open_.select("component").distinct().join(inside, "component", "left").join(radius, "component", "left")
@@ -173,17 +189,26 @@ def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, known: Da
     least = F.greatest(t - F.col("radius"), F.lit(0.0))
     other = (x["key"] == there["key"]) & (F.col("xc") != F.col("yc")) & (F.col("inner") | (F.col("xc") < F.col("yc")))
     met = x.join(there, other & sized(F.col("xn"), F.col("hn"), least) & may_reach(F.col("xg"), F.col("hg"), least))
-    met = met.select("yc", "radius", F.col("xr").alias("a"), F.col("hub").alias("b")).distinct()
-    met = written(measured(met, sets))
+    met = met.select(F.col("yc").alias("component"), "hn", F.col("xr").alias("a"), F.col("hub").alias("b")).distinct()
+    met = written(measured(met, sets, GAINED, LACKED, ON))
     near = ordered(met.where(is_link(percent)), "a", "b")
 
-    # distances that leave room for a member nearer to x than the hub
-    room = met.where(~is_link(percent)).withColumn("least", 1 - F.col("common") / F.col("all") - far - 1e-9).where("least <= radius AND radius > 0")
-    x = x.drop("xc").join(room.select(F.col("a").alias("xr"), "yc", "least"), "xr")
-    y = open_.select("key", F.col("rep").alias("yr"), F.col("component").alias("c")).join(away.where("away > 0").select(F.col("rep").alias("yr"), "away"), "yr")
-    y = y.join(known.select(F.col("rep").alias("yr"), F.col("n").alias("yn"), F.col("regs").alias("yg")), "yr")
-    same = (x["key"] == y["key"]) & (F.col("yc") == F.col("c")) & (F.col("away") >= F.col("least"))
-    pairs = ordered(x.join(y, same & sized(F.col("xn"), F.col("yn"), t) & may_reach(F.col("xg"), F.col("yg"), t)), "xr", "yr")
+    # Of a set that differs from the hub in d items, sets of n and m items that share s of their d and e
+    # differ in d + e - 2s items; a link allows r * (n + m).
+    r = (100 - percent) / (100 + percent)
+    differ = F.size("gained") + F.size("lacked")
+    beyond = (differ - r * (F.col("n") + F.col("hn"))) / (1 + r)  # what x, no link of the hub, has to share at least, for any y
+    x = met.where(~is_link(percent)).join(most, "component").where(beyond <= F.col("most") + 1e-6)
+    x = heads(x.withColumnRenamed("a", "rep"), F.greatest(F.ceil(beyond - 1e-6), F.lit(1)))
+    y = away.join(hubs.select(F.col("yc").alias("component"), "hn"), "component").where(differ > 0)
+    y = heads(y, F.greatest(F.ceil((differ + r * (F.col("hn") - F.col("n"))) / 2 - 1e-6), F.lit(1)))
+    x, y = x.alias("x"), y.alias("y")
+    u = {c: (F.col(f"x.{c}"), F.col(f"y.{c}")) for c in ("n", "g", "l", "at")}
+    needed = (sum(u["g"]) + sum(u["l"]) - r * sum(u["n"])) / 2 - 1e-6
+    # items from the one met on; those before it in either were met at an earlier row, if they are shared
+    ahead = F.least(*[F.greatest(g - at, F.lit(0)) for g, at in zip(u["g"], u["at"])]) + F.least(*[lacked - F.greatest(at - g, F.lit(0)) for g, lacked, at in zip(u["g"], u["l"], u["at"])])
+    same = (F.col("x.component") == F.col("y.component")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.rep") != F.col("y.rep"))
+    pairs = ordered(x.join(y, same & sized(*u["n"], t) & (ahead >= needed)).select(F.col("x.rep").alias("xr"), F.col("y.rep").alias("yr")), "xr", "yr")
     return near.union(measured(pairs, sets).where(is_link(percent)).select("a", "b"))
 
 
