@@ -8,12 +8,12 @@ sets, and components of the verified links are returned.
 
 No bucket's pairs are all emitted. First every member is compared with two pivots of its bucket; a
 group of true copies becomes one component by that. A component has a hub, its member of most links.
-Members outside the largest component of their bucket are then compared with the hubs of the other
-components there: a link to a hub joins the two. Without one, the Jaccard distance being a metric, a
-member y can only be linked with x if its distance to the hub is not less than x's less the bound of
-a link. Such an x and y share at least a known part of what each differs in from the hub, so they meet
-on one of the first of those items (in one order for all) or are no link: a join on exact sets, which
-leaves no link out. Items that the hub lacks come first in that order, as fewest share them.
+Members outside the largest component of their bucket are then compared with its hub alone, and a link
+joins the two. Any other link of such a member x, be it with one of that component or with another
+member outside it, is between sets that share at least a known part of what each differs in from the
+hub, the symmetric difference being a metric. So they meet on one of the first of those items (in one
+order for all) or are no link: a join on exact sets, which leaves no link out. Items that the hub lacks
+come first in that order, as fewest share them.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
 a text of fewer words than a shingle has its whole sequence as one; rows that repeat an id or a text
@@ -148,7 +148,7 @@ def heads(d: DataFrame, shared: Column) -> DataFrame:
     items = F.concat("gained", "lacked")
     d = d.withColumn("g", F.size("gained")).withColumn("l", F.size("lacked"))
     d = d.withColumn("items", F.slice(items, F.lit(1), F.greatest(F.col("g") + F.col("l") + 1 - shared, F.lit(0)).cast("int")))
-    return d.select("component", "rep", "n", "g", "l", F.posexplode("items").alias("at", "item"))
+    return d.select("main", "component", "a", "n", "g", "l", F.posexplode("items").alias("at", "item"))
 
 
 def is_link(percent: int) -> Column:
@@ -159,57 +159,40 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Further links(a, b), such that components of these and `links` are those of all links."""
-    t, far = F.lit(percent / 100), 1 - percent / 100
-
-    def sized(a: Column, b: Column, least: Column) -> Column:
-        return F.least(a, b) >= F.greatest(a, b) * (least - 1e-9)
-
     m = members.select("key", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = m.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    open_ = written(m.join(main, "key"))
+    near = written(m.join(main, "key").select("main", "rep", "component").distinct())
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     inside = parts_.join(degrees, "node").groupBy("component").agg(F.max_by("node", F.struct("links", -F.col("node"))).alias("hub"))
-    own = open_.select("rep", "component").distinct().join(inside, "component")
-    away = measured(own.where("rep <> hub").select("component", F.col("rep").alias("a"), F.col("hub").alias("b")), sets, GAINED, LACKED, ON)
-    away = written(away.select(F.col("a").alias("rep"), "component", (1 - F.col("common") / F.col("all")).alias("away"), "n", "gained", "lacked"))
-    most = away.groupBy("component").agg(F.max(F.size("gained") + F.size("lacked")).alias("most"))
-    radius = away.groupBy("component").agg(F.max("away").alias("radius"))
     # a component of one is its own hub
-    hubs = open_.select("component").distinct().join(inside, "component", "left").join(radius, "component", "left")
-    hubs = hubs.select(F.col("component").alias("yc"), F.coalesce("hub", "component").alias("hub"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    hubs = written(hubs.join(known.select(F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("regs").alias("hg")), "hub"))
-
-    x = open_.where("component <> main").select("key", F.col("rep").alias("xr"), F.col("component").alias("xc"))
-    x = x.join(known.select(F.col("rep").alias("xr"), F.col("n").alias("xn"), F.col("regs").alias("xg")), "xr")
-    there = open_.select("key", F.col("component").alias("yc"), (F.col("component") == F.col("main")).alias("inner")).distinct().join(hubs, "yc")
-    least = F.greatest(t - F.col("radius"), F.lit(0.0))
-    other = (x["key"] == there["key"]) & (F.col("xc") != F.col("yc")) & (F.col("inner") | (F.col("xc") < F.col("yc")))
-    met = x.join(there, other & sized(F.col("xn"), F.col("hn"), least) & may_reach(F.col("xg"), F.col("hg"), least))
-    met = met.select(F.col("yc").alias("component"), "hn", F.col("xr").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = near.select("main").distinct().join(inside.withColumnRenamed("component", "main"), "main", "left").select("main", F.coalesce("hub", "main").alias("hub"))
+    met = near.join(hubs, "main").where("rep <> hub").select("main", "component", F.col("rep").alias("a"), F.col("hub").alias("b"))
     met = written(measured(met, sets, GAINED, LACKED, ON))
-    near = ordered(met.where(is_link(percent)), "a", "b")
+    outside = met.where("component <> main")
 
     # Of a set that differs from the hub in d items, sets of n and m items that share s of their d and e
     # differ in d + e - 2s items; a link allows r * (n + m).
     r = (100 - percent) / (100 + percent)
     differ = F.size("gained") + F.size("lacked")
-    beyond = (differ - r * (F.col("n") + F.col("hn"))) / (1 + r)  # what x, no link of the hub, has to share at least, for any y
-    x = met.where(~is_link(percent)).join(most, "component").where(beyond <= F.col("most") + 1e-6)
-    x = heads(x.withColumnRenamed("a", "rep"), F.greatest(F.ceil(beyond - 1e-6), F.lit(1)))
-    y = away.join(hubs.select(F.col("yc").alias("component"), "hn"), "component").where(differ > 0)
-    y = heads(y, F.greatest(F.ceil((differ + r * (F.col("hn") - F.col("n"))) / 2 - 1e-6), F.lit(1)))
+    hn = F.col("common") + F.size("lacked")
+    x = outside.where(~is_link(percent))
+    y = met.join(x.select("main").distinct(), "main", "left_semi")
+    # what x, no link of the hub, shares at least with any y, and what any y shares with such an x
+    x = heads(x, F.greatest(F.ceil((differ - r * (F.col("n") + hn)) / (1 + r) - 1e-6), F.lit(1)))
+    y = heads(y, F.greatest(F.ceil((differ + r * (hn - F.col("n"))) / 2 - 1e-6), F.lit(1)))
     x, y = x.alias("x"), y.alias("y")
     u = {c: (F.col(f"x.{c}"), F.col(f"y.{c}")) for c in ("n", "g", "l", "at")}
     needed = (sum(u["g"]) + sum(u["l"]) - r * sum(u["n"])) / 2 - 1e-6
     # items from the one met on; those before it in either were met at an earlier row, if they are shared
     ahead = F.least(*[F.greatest(g - at, F.lit(0)) for g, at in zip(u["g"], u["at"])]) + F.least(*[lacked - F.greatest(at - g, F.lit(0)) for g, lacked, at in zip(u["g"], u["l"], u["at"])])
-    same = (F.col("x.component") == F.col("y.component")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.rep") != F.col("y.rep"))
-    pairs = ordered(x.join(y, same & sized(*u["n"], t) & (ahead >= needed)).select(F.col("x.rep").alias("xr"), F.col("y.rep").alias("yr")), "xr", "yr")
-    return near.union(measured(pairs, sets).where(is_link(percent)).select("a", "b"))
+    same = (F.col("x.main") == F.col("y.main")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component"))
+    fits = F.least(*u["n"]) * 100 >= F.greatest(*u["n"]) * percent
+    pairs = ordered(x.join(y, same & fits & (ahead >= needed)).select(F.col("x.a").alias("xr"), F.col("y.a").alias("yr")), "xr", "yr")
+    return ordered(outside.where(is_link(percent)), "a", "b").union(measured(pairs, sets).where(is_link(percent)).select("a", "b"))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -230,7 +213,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sets = written(d.join(reps, d["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, items array<long>"))
     links = written(measured(first, sets).where(is_link(percent)).select("a", "b"))
     parts_ = components(links)
-    more = written(left_over(members, parts_, links, known, sets, percent))
+    more = written(left_over(members, parts_, links, sets, percent))
     if more.limit(1).count():
         parts_ = components(links.union(more))
 
