@@ -102,6 +102,35 @@ def test_groups_of_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
 
 
+def test_members_outside_a_component_find_all_their_links(spark):
+    """All sets in one bucket, few links known at first: the links found make the components of all links."""
+    rng = random.Random(5)
+    hub = list(range(80))
+    sets = {0: set(hub), 1: {*hub[2:], 900}}
+    for k in range(2, 90):
+        far = set(hub) - set(rng.sample(hub, rng.randrange(1, 14))) | {1000 + rng.randrange(40) for _ in range(rng.randrange(10))}
+        sets[k] = far
+        if k % 3 == 0:
+            sets[k] = set(sets[k - 1]) - set(rng.sample(sorted(sets[k - 1]), rng.randrange(1, 7)))
+
+    def roots(edges):
+        up = {k: k for k in sets}
+        for a, b in edges:
+            x, y = sorted((up[a], up[b]))
+            up = {k: x if u == y else u for k, u in up.items()}
+        return up
+
+    every = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    known = [(a, b) for a, b in every if a == 0 and b < 20]
+    links = spark.createDataFrame(known, "a long, b long")
+    members = spark.createDataFrame([(7, k) for k in sets], "key long, rep long")
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "rep long, items array<long>")
+    more = [(r.a, r.b) for r in neardup.left_over(members, neardup.components(links), links, table, 85).collect()]
+    assert set(more) <= set(every)
+    assert roots(known + more) == roots(every) and roots(every) != roots(known)
+    assert any(0 not in pair for pair in more)
+
+
 def test_repeats_against_all_windows(spark, folder, docs):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = {}

@@ -137,10 +137,9 @@ def measured(pairs: DataFrame, sets: DataFrame, *kept: Column) -> DataFrame:
     return p.select("*", (F.size("x") + F.size("y") - F.col("common")).alias("all"), *kept).drop("x", "y")
 
 
-#: What a (x) has over its hub (y), and what it lacks of it, each in the order of their hashes.
-GAINED = F.array_sort(F.array_except("x", "y")).alias("gained")
-LACKED = F.array_sort(F.array_except("y", "x")).alias("lacked")
-ON = F.size("x").alias("n")
+def differences() -> list[Column]:
+    """What a (x) has over its hub (y), and what it lacks of it, each in the order of their hashes; the size of a."""
+    return [F.array_sort(F.array_except("x", "y")).alias("gained"), F.array_sort(F.array_except("y", "x")).alias("lacked"), F.size("x").alias("n")]
 
 
 def heads(d: DataFrame, shared: Column) -> DataFrame:
@@ -171,7 +170,7 @@ def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, sets: Dat
     # a component of one is its own hub
     hubs = near.select("main").distinct().join(inside.withColumnRenamed("component", "main"), "main", "left").select("main", F.coalesce("hub", "main").alias("hub"))
     met = near.join(hubs, "main").where("rep <> hub").select("main", "component", F.col("rep").alias("a"), F.col("hub").alias("b"))
-    met = written(measured(met, sets, GAINED, LACKED, ON))
+    met = written(measured(met, sets, *differences()))
     outside = met.where("component <> main")
 
     # Of a set that differs from the hub in d items, sets of n and m items that share s of their d and e
