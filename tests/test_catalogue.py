@@ -20,3 +20,12 @@ def test_unparsed_files_give_nothing():
     from twinspark.plans.extract import functions_of
 
     assert functions_of("a.py", "def f(:") == [] and functions_of("a.py", None) == []
+
+
+def test_subset_suppression_over_all_of_lineitem(spark):
+    members = {}
+    for r in catalogue.table(spark, SF, "lineitem").select("l_orderkey", "l_suppkey").collect():
+        members.setdefault(r.l_orderkey, set()).add(r.l_suppkey)
+    want = {k: ",".join(map(str, sorted(s))) for k, s in members.items() if not any(s < o for o in members.values())}
+    assert {r.finding: r.members for r in catalogue.subset_suppression_all(spark, SF).collect()} == want
+    assert any(k % 40 != 1 for k in want)

@@ -30,10 +30,16 @@ def capped(members: DataFrame, most: int = MAX_GROUP) -> DataFrame:
 
 def subset_suppressed(findings: DataFrame) -> DataFrame:
     """findings(finding, members): those whose members are not a strict subset of another's."""
-    m = findings.select("finding", F.size("members").alias("n"), F.explode("members").alias("u"))
-    o = m.select(F.col("finding").alias("other"), F.col("n").alias("m"), "u")
-    inside = m.join(o, "u").where((F.col("finding") != F.col("other")) & (F.col("n") < F.col("m"))).groupBy("finding", "other", "n").agg(F.count("*").alias("shared")).where("shared = n")
-    return findings.join(inside.select("finding").distinct(), "finding", "left_anti")
+    # a set that holds all members of another holds its rarest one, so equal sets meet once and only there
+    sets = findings.select("members").distinct()
+    m = sets.select("members", F.explode(F.array_distinct("members")).alias("u"))
+    rare = m.join(m.groupBy("u").agg(F.count("*").alias("c")), "u").groupBy("members").agg(F.min(F.struct("c", "u"))["u"].alias("u"))
+    bits = F.aggregate("members", F.lit(0).cast("long"), lambda b, x: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    inner = rare.select("members", "u", bits.alias("bits"), F.size(F.array_distinct("members")).alias("n"))
+    outer = m.select(F.col("members").alias("other"), F.col("u").alias("v"), bits.alias("other_bits"), F.size(F.array_distinct("members")).alias("m"))
+    holds = (F.col("n") < F.col("m")) & (F.col("bits").bitwiseAND(F.bitwise_not("other_bits")) == 0) & (F.size(F.array_except("members", "other")) == 0)
+    inside = inner.join(outer, (F.col("u") == F.col("v")) & holds, "left_semi").select("members")
+    return findings.join(inside, "members", "left_anti").select(*findings.columns)
 
 
 def merged_overlaps(findings: DataFrame, group_least: float = 0.60, other_least: float = 0.70) -> DataFrame:

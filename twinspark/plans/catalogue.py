@@ -282,6 +282,12 @@ def subset_suppression(spark, sf_dir):
     return findings.subset_suppressed(f).select("finding", F.array_join("members", ",").alias("members"))
 
 
+@query("WITH f AS (SELECT l_orderkey AS finding, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem GROUP BY l_orderkey), u AS (SELECT finding, len(members) AS n, unnest(members) AS u FROM f), i AS (SELECT x.finding FROM u x JOIN u y ON x.u = y.u AND x.n < y.n GROUP BY x.finding, y.finding, x.n HAVING count(*) = x.n) SELECT finding, array_to_string(members, ',') AS members FROM f WHERE finding NOT IN (SELECT finding FROM i)")
+def subset_suppression_all(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("finding")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
+    return findings.subset_suppressed(f).select("finding", F.array_join("members", ",").alias("members"))
+
+
 @query("SELECT unit, finding FROM (SELECT l_partkey AS unit, l_orderkey AS finding, row_number() OVER (PARTITION BY l_partkey ORDER BY max(l_discount) DESC, l_orderkey) AS r FROM lineitem GROUP BY l_partkey, l_orderkey) WHERE r = 1")
 def unit_assignment(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("unit"), F.col("l_orderkey").alias("finding")).agg(F.max("l_discount").alias("score"))
