@@ -203,6 +203,15 @@ def test_lines_against_all_pairs(spark):
     assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_short_lines_go_if_repeated_exactly(spark, tmp_path):
+    rows = [(1, "ab\n\nAB \nx"), (2, "ac\n\nab\n \nx y"), (3, "X"), (4, "q\t\n" + "long enough for the one-edit join"), (5, "long enough for the one-edit joim\nq\n\n")]
+    want = {1: "ab\n\nx", 2: "ac\n\n \nx y", 3: "", 4: rows[3][1], 5: "\n"}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_near, r.kept_sha256) for r in lines.op2_lines(spark, str(tmp_path)).collect()}
+    near = {5: (2, 1)}
+    assert got == {d: (*near.get(d, ({1: 1, 2: 1, 3: 1, 4: 0}.get(d), 0)), hashlib.sha256(t.encode()).hexdigest()) for d, t in want.items()}
+
+
 def test_pieces_come_back(spark, docs):
     got = pieces.decoded(pieces.encoded(docs)).collect()
     want = {r.doc_id: r.text for r in docs.collect()}

@@ -14,8 +14,12 @@ line shares all the rest of emit their variants, so a line of n characters costs
 
 Lines travel as two hashes, never as texts, but for those that can have a partner.
 
-Defined results: null text stays null; lines shorter than LEAST normalised characters are never
-removed; the order of lines is that of (id, line number), null ids last and as one document;
+Lines shorter than LEAST normalised characters have no part in the one-edit join: an edit of a short line
+is another line. Their exact repeats are removed from `exact` characters on; the query and the stage take 1,
+that is every line with a word, the functions' default is LEAST.
+
+Defined results: null text stays null; lines shorter than `exact` normalised characters, and lines without
+a word, are never removed; the order of lines is that of (id, line number), null ids last and as one document;
 rows that repeat an id are one document, whose first place of a line stays in each of them.
 """
 
@@ -41,13 +45,13 @@ def hashed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row a line: id, number k, hashes h and h2, whether it is the first of its kind in the row, hashes of its halves."""
+def placed(docs: DataFrame, id_col: str, text_col: str, exact: int) -> DataFrame:
+    """A row a line: id, number k, hashes h and h2, whether it is the first of its kind in the row, hashes of its halves (null if short)."""
 
     def own(lines):
         def rows(all_h):
             same = F.size(F.array_distinct(all_h)) == F.size(all_h)
-            return F.transform(lines, lambda x, k: F.when(F.length(x) >= LEAST, F.struct(k.alias("k"), hashed(x).alias("x"), (same | (F.array_position(all_h, F.get(all_h, k)) == k + 1)).alias("first"), halves(x).alias("halves"))))
+            return F.transform(lines, lambda x, k: F.when(F.length(x) >= max(exact, 1), F.struct(k.alias("k"), hashed(x).alias("x"), (same | (F.array_position(all_h, F.get(all_h, k)) == k + 1)).alias("first"), F.when(F.length(x) >= LEAST, halves(x)).alias("halves"))))
 
         return let(F.transform(lines, lambda x: F.xxhash64(x)), rows)
 
@@ -108,9 +112,9 @@ def near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> DataF
     return pairs.where(F.levenshtein("line", "before", 1) >= 0).select("h", "h2", F.lit(True).alias("near"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = LEAST) -> DataFrame:
     """(id, gone, n_near): numbers of each document's lines to remove, and how many have an edit between."""
-    lines = written(placed(docs, id_col, text_col))
+    lines = written(placed(docs, id_col, text_col, exact))
     once = lines.where("first")
     halved = once.select("h", "h2", F.explode("halves").alias("half"))
     shared = halved.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("half")
@@ -123,9 +127,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return gone.union(again).groupBy("id").agg(F.collect_set("k").alias("gone"), F.count_if("near").alias("n_near"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = LEAST) -> DataFrame:
     """docs with text_col without the removed lines, and __lines, __removed, __near: numbers of lines."""
-    gone = removals(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
+    gone = removals(docs, id_col, text_col, exact).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
     text = F.col(f"`{text_col}`")
     d = docs.join(gone, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)) == F.col("__id"), "left")
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
@@ -135,12 +139,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
-    d = deduplicated(read(spark, sf_dir).select("doc_id", "text"))
+    d = deduplicated(read(spark, sf_dir).select("doc_id", "text"), exact=1)
     return d.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; a document that has no word left, and had lines removed, goes."""
-    d = deduplicated(docs).where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    d = deduplicated(docs, exact=1).where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return d.select(*docs.columns)
