@@ -320,6 +320,14 @@ def test_licence_notices(spark):
     assert got == {1: "MIT", 2: None, 3: "Apache-2.0"}
 
 
+def test_licences_with_other_or_many_separators(spark, same, tmp_path):
+    wrapped = "Licensed under\nthe MIT License.\n"
+    texts = ["Licensed\nunder\nthe\nMIT\nLicense.", "Licensed\tunder\tthe\tMIT\tLicense.", "\n".join(" " * 35 + x for x in ["Licensed under", "the MIT License."] + ["//"] * 10), wrapped * 200]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.licence, r.dice) for r in licences.op3_licences(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict.fromkeys(range(4), "MIT") and got[0][1] == got[1][1] == got[2][1] == 1.0
+
+
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 

@@ -57,12 +57,12 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """Per document: id, best licence, its coefficient, and the number of units with a hit."""
     sets = [(name, _bigrams(text)) for name, text in templates]
     ranges = [bounds(len(b), least) for _, b in sets]
-    least_words, most_words = min(a for a, _ in ranges) + 1, 3 * max(b for _, b in ranges)
+    least_chars = 2 * min(a for a, _ in ranges) + 1
     literal = F.array(*[F.array(*[F.xxhash64(F.lit(x)) for x in b]) for _, b in sets])
 
-    # words of a unit that is worth a look; repeats of a bigram make it a little longer than its set
+    # n bigrams take n + 1 words of a character at least and n separators; there is no such bound above, as bigrams can repeat
     def rough(x: Column) -> Column:
-        return let(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))), lambda n: (n + 1 >= least_words // 2) & (n <= most_words))
+        return F.length(x) >= least_chars
 
     def grams(x: Column) -> Column:
         w = F.array_remove(F.split(F.lower(x), r"[^0-9a-z\x{80}-\x{ffff}]+", -1), "")
