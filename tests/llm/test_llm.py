@@ -284,6 +284,17 @@ def test_winnowing_keeps_the_rightmost_least_hash_of_each_window(spark, texts):
         assert r.c == want
 
 
+def test_short_and_unspaced_texts_share_fingerprints_with_their_edits(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), "one two three four five six", "unquestionably extraordinary", "a\U0001f600" * 3 + "bcdefgh" * 3, "zzz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in fingerprint.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert all(rows[k].near_edited > 0 for k in range(4)) and rows[0].near_edited > 0.4
+    want = {k: len({c for c in zip(*(t[i:] for i in range(8)))}) for k, t in enumerate("".join(t.split()) for t in texts)}
+    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", fingerprint.winnow(F.col("text"), window=1).alias("c")).collect()
+    assert {r.doc_id: len({x >> 31 for x in r.c}) for r in every} == {**want, 4: 1}
+
+
 def luhn(x):
     d = [int(c) for c in x][::-1]
     return sum(v if k % 2 == 0 else sum(divmod(2 * v, 10)) for k, v in enumerate(d)) % 10 == 0
