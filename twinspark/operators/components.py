@@ -17,14 +17,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = written(e.union(e.select("v", "u")).distinct())
-    labels = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"))
+    labels = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:
-        near = e.join(labels, e["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
-        low = labels.union(near).groupBy("node").agg(F.min("label").alias("label"))
+        near = e.join(labels, e["v"] == labels["node"]).select(F.col("u").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        low = labels.select("node", "label", F.col("label").alias("was")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = written(low.join(up, "label", "left").select("node", F.least("label", "above").alias("label")))
-        old = labels.select("node", F.col("label").alias("was"))
-        settled = new.join(old, "node").where(F.col("label") != F.col("was")).limit(1).count() == 0
-        labels = new
-        if settled:
+        new = written(low.join(up, "label", "left").select("node", F.least("label", "above").alias("label"), "was"))
+        labels = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
             return labels.withColumnRenamed("label", "component")
