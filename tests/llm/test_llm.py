@@ -102,33 +102,47 @@ def test_groups_of_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
 
 
-def test_members_outside_a_component_find_all_their_links(spark):
-    """All sets in one bucket, few links known at first: the links found make the components of all links."""
+def test_all_links_between_sets_are_found_without_bands(spark):
+    """Sets around a hub, many short of the threshold with it: the components are those of all links."""
     rng = random.Random(5)
     hub = list(range(80))
     sets = {0: set(hub), 1: {*hub[2:], 900}}
     for k in range(2, 90):
-        far = set(hub) - set(rng.sample(hub, rng.randrange(1, 14))) | {1000 + rng.randrange(40) for _ in range(rng.randrange(10))}
-        sets[k] = far
+        sets[k] = set(hub) - set(rng.sample(hub, rng.randrange(1, 14))) | {1000 + rng.randrange(40) for _ in range(rng.randrange(10))}
         if k % 3 == 0:
             sets[k] = set(sets[k - 1]) - set(rng.sample(sorted(sets[k - 1]), rng.randrange(1, 7)))
-
-    def roots(edges):
-        up = {k: k for k in sets}
-        for a, b in edges:
-            x, y = sorted((up[a], up[b]))
-            up = {k: x if u == y else u for k, u in up.items()}
-        return up
-
-    every = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    known = [(a, b) for a, b in every if a == 0 and b < 20]
-    links = spark.createDataFrame(known, "a long, b long")
-    members = spark.createDataFrame([(7, k) for k in sets], "key long, rep long")
-    table = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "rep long, items array<long>")
-    more = [(r.a, r.b) for r in neardup.left_over(members, neardup.components(links), links, table, 85).collect()]
-    assert set(more) <= set(every)
-    assert roots(known + more) == roots(every) and roots(every) != roots(known)
-    assert any(0 not in pair for pair in more)
+    up = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                x, y = sorted((up[a], up[b]))
+                up = {k: x if u == y else u for k, u in up.items()}
+    same_regs = [1] * neardup.BUCKETS
+    table = spark.createDataFrame([(k, len(s), same_regs, sorted(s)) for k, s in sets.items()], "rep long, n long, regs array<short>, items array<long>")
+    got = {r.node: r.component for r in neardup.linked(table, 85).collect()}
+    assert {k: got.get(k, k) for k in sets} == up and len(set(up.values())) > 1
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_rows_that_repeat_an_id_are_linked_by_their_texts(spark, turn):
+    rng = random.Random(2)
+    a, b = (" ".join(rng.sample(WORDS, 60)) for _ in range(2))
+    rows = [(5, a, 1), (5, b, 2), (8, b + " tail", 3), (9, a, 4), (None, a + " end", 5), (5, a, 6), (5, a, 1), (7, "", 7), (7, "", 7), (None, None, 8)][::turn]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra long").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.grouped(d).collect()}
+    assert got == {(5, 58, 5), (8, 59, 5), (9, 58, 5), (None, 59, 5), (7, 0, 7), (None, 0, None)}
+    kept = neardup.stage(spark, d, "").collect()
+    # one row of each of the two groups, and the rows without words
+    assert len([r for r in kept if r.text]) == 2 and {r.doc_id for r in kept if r.text} == {5} and {r.text for r in kept if r.text} == {a, b} and len(kept) == 5
+
+
+def test_chance_of_equal_registers(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 64, 400 * 3000, dtype=np.uint64)
+    r = neardup.registers(h, np.arange(0, len(h) + 1, 3000))
+    seen = (r[::2] == r[1::2]).mean()
+    want = spark.range(1).select(neardup.chance(F.lit(3000.0), F.lit(3000.0))).first()[0]
+    assert abs(seen - want) < 0.3 * want
 
 
 def test_repeats_against_all_windows(spark, folder, docs):

@@ -6,18 +6,24 @@ Documents of equal sets are one class; class representatives that agree in a ban
 candidates; candidates whose collision-corrected estimate can reach the threshold are verified on full
 sets, and components of the verified links are returned.
 
-No bucket's pairs are all emitted. First every member is compared with two pivots of its bucket; a
-group of true copies becomes one component by that. A component has a hub, its member of most links.
-Members outside the largest component of their bucket are then compared with its hub alone, and a link
-joins the two. Any other link of such a member x, be it with one of that component or with another
-member outside it, is between sets that share at least a known part of what each differs in from the
-hub, the symmetric difference being a metric. So they meet on one of the first of those items (in one
-order for all) or are no link: a join on exact sets, which leaves no link out. Items that the hub lacks
-come first in that order, as fewest share them.
+No bucket's pairs are all emitted. Representatives that share a band with another one are the
+members; a group of true copies may hold a third of them, and thousands may share a long passage. So
+members meet on items instead of in their bands: items are put in one order for all, those that fewest
+members hold first. Sets that reach the threshold share one of the first n - ceil(t * n) + 1 items of
+each, and from the first that they share on enough items must follow in both (prefix and position
+bounds, both exact). What many documents have in common comes last in that order and joins nobody.
+
+On each such item the most central member (that of most common items) is the pivot, and the others are
+compared with it alone: one pair a member and pivot, which makes one component of a group of copies.
+Members of other components than an item's largest one get a pivot of their own in the next round.
+When a round adds next to nothing, what is left is settled in full: members outside the largest component
+of an item against all of that item's members, so that no link between components is left out.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
-a text of fewer words than a shingle has its whole sequence as one; rows that repeat an id or a text
-fall into one class; a null id stays out of components (component null, kept).
+a text of fewer words than a shingle has its whole sequence as one; rows of equal sets are one class. Each
+row is a node of its own: rows that repeat an id with other texts are linked by their texts alone, in any
+order of rows. A component is named by its least id; one without any id has component null. The stage keeps
+the first row of each component by id (nulls last), text hash and row hash, and every row without words.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..storage import written
+from ..storage import dropped, written
 from .batches import mixed, parts, word_hashes
-from .common import read
+from .common import WORD, let, read
 
 BANDS, ROWS, MANTISSA = 25, 5, 10
 BUCKETS = BANDS * ROWS
@@ -91,7 +97,7 @@ def _signatures(width: int):
                     np.add.at(sums[k], docs, mixed(h ^ np.uint64(salt)))
                 regs = registers(h, at)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, regs.size + 1, BUCKETS, dtype=np.int32)), pa.array(regs.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), flat], names=["doc_id", "n", "s1", "s2", "regs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(at)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), flat], names=["doc_id", "th", "n", "s1", "s2", "regs"])
 
     return run
 
@@ -101,7 +107,8 @@ def _sets(width: int):
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(1)):
                 h, at = shingles(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.LargeListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], names=["rep", "items"])
+                items = pa.LargeListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), items], names=["rep", "regs", "items"])
 
     return run
 
@@ -112,121 +119,142 @@ def band_keys(regs: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.array_max(b) != EMPTY, F.xxhash64(F.lit(k), b)) for k, b in enumerate(bands)]))
 
 
-def may_reach(a: Column, b: Column, threshold: Column) -> Column:
-    """Whether the Jaccard index estimated from registers may be the threshold.
+def chance(na: Column, nb: Column) -> Column:
+    """Probability that registers of different least hashes agree, for sets of na and nb items.
 
-    Equal registers over those that either has, less the chance that different least hashes share
-    leading zeros and mantissa (a third of 2^-MANTISSA).
+    The least of a bucket's na / BUCKETS hashes has k leading zeros with the probability that it lies between
+    2^-k-1 and 2^-k; two of equal count agree in all mantissa bits once in 2^MANTISSA.
     """
-    chance = 1 / 3 / 2**MANTISSA
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(0)).when(x == y, F.lit(1001)).otherwise(F.lit(1)))
-    both = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
 
-    def enough(s):  # s = 1000 * equal + used
-        equal, used = F.floor(s / 1000), s % 1000
-        estimate = (equal / used - chance) / (1 - chance)
-        return estimate >= threshold - SLACK * F.sqrt(threshold * (1 - threshold) / used)
+    def between(n, k):
+        r = F.greatest(n / BUCKETS, F.lit(1.0))
+        return F.exp(-r * F.pow(F.lit(0.5), k + 1)) - F.exp(-r * F.pow(F.lit(0.5), k))
 
-    return F.get(F.transform(F.array(both), enough), 0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0.0), lambda s, k: s + between(na, k) * between(nb, k)) / 2**MANTISSA
 
 
-def measured(pairs: DataFrame, sets: DataFrame, *kept: Column) -> DataFrame:
-    """pairs(a, b, ...) with `common` and `all`, the sizes of the full sets' intersection and union, and columns of x and y, the sets."""
-    p = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-    p = p.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return p.select("*", (F.size("x") + F.size("y") - F.col("common")).alias("all"), *kept).drop("x", "y")
+def may_reach(a: Column, b: Column, na: Column, nb: Column, threshold: float) -> Column:
+    """Whether the Jaccard index estimated from registers may be the threshold.
+
+    The part of equal registers among those that either has, corrected for agreement by chance.
+    """
+    pairs = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(0)).when(x == y, F.lit(1001)).otherwise(F.lit(1)))
+    both = F.struct(F.aggregate(pairs, F.lit(0), lambda s, x: s + x).alias("s"), chance(na, nb).alias("c"))
 
+    def enough(v):  # s = 1000 * equal + used
+        equal, used = F.floor(v["s"] / 1000), v["s"] % 1000
+        estimate = (equal / used - v["c"]) / (1 - v["c"])
+        return estimate >= threshold - SLACK * F.sqrt(threshold * (1 - threshold) / used)
 
-def differences() -> list[Column]:
-    """What a (x) has over its hub (y), and what it lacks of it, each in the order of their hashes; the size of a."""
-    return [F.array_sort(F.array_except("x", "y")).alias("gained"), F.array_sort(F.array_except("y", "x")).alias("lacked"), F.size("x").alias("n")]
+    return let(both, enough)
 
 
-def heads(d: DataFrame, shared: Column) -> DataFrame:
-    """A row for each of the first items of gained, then lacked: as many as leave under `shared` items after them."""
-    items = F.concat("gained", "lacked")
-    d = d.withColumn("g", F.size("gained")).withColumn("l", F.size("lacked"))
-    d = d.withColumn("items", F.slice(items, F.lit(1), F.greatest(F.col("g") + F.col("l") + 1 - shared, F.lit(0)).cast("int")))
-    return d.select("main", "component", "a", "n", "g", "l", F.posexplode("items").alias("at", "item"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs(a, b): first by estimate, then on full sets."""
+    p = written(pairs)
+    for e in "ab":
+        p = p.join(sets.select(F.col("rep").alias(e), F.col("n").alias(f"n{e}"), F.col("regs").alias(f"r{e}")), e)
+    p = p.where(may_reach(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"), percent / 100)).select("a", "b", "na", "nb")
+    for e in "ab":
+        p = p.join(sets.select(F.col("rep").alias(e), F.col("items").alias(f"i{e}")), e)
+    common = F.size(F.array_intersect("ia", "ib"))
+    return written(p.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb") - common).alias("all")).where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("all")).select("a", "b"))
 
 
-def is_link(percent: int) -> Column:
-    return F.lit(100) * F.col("common") >= F.lit(percent) * F.col("all")
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """A row for each item that a set can first share with a set linked with it: item, rep, n, at (its place), centre."""
+    items = sets.select("rep", F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
+    shared = items.join(held, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "item"))).alias("shared"))
+    s = shared.join(sets.select("rep", "n"), "rep")
+    alone = F.col("n") - F.size("shared")  # items of no other set come first
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - alone
+    s = s.select("rep", "n", alone.alias("alone"), (F.aggregate("shared", F.lit(0.0), lambda a, x: a + F.log(x["held"])) / F.col("n")).alias("centre"), F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("first"))
+    return s.select("rep", "n", "alone", "centre", F.posexplode("first").alias("i", "x")).select(F.col("x.item").alias("item"), "rep", "n", (F.col("alone") + F.col("i")).cast("int").alias("at"), "centre")
 
 
-def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def fit(x, y, percent: int) -> Column:
+    """Whether sets of x.n and y.n items whose first common item is at x.at and y.at can be linked."""
+    sizes = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
+    return sizes & (F.least(x("n") - x("at"), y("n") - y("at")) * (100 + percent) >= (x("n") + y("n")) * percent)
 
 
-def left_over(members: DataFrame, parts_: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Further links(a, b), such that components of these and `links` are those of all links."""
-    m = members.select("key", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = m.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    near = written(m.join(main, "key").select("main", "rep", "component").distinct())
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    inside = parts_.join(degrees, "node").groupBy("component").agg(F.max_by("node", F.struct("links", -F.col("node"))).alias("hub"))
-    # a component of one is its own hub
-    hubs = near.select("main").distinct().join(inside.withColumnRenamed("component", "main"), "main", "left").select("main", F.coalesce("hub", "main").alias("hub"))
-    met = near.join(hubs, "main").where("rep <> hub").select("main", "component", F.col("rep").alias("a"), F.col("hub").alias("b"))
-    met = written(measured(met, sets, *differences()))
-    outside = met.where("component <> main")
 
-    # Of a set that differs from the hub in d items, sets of n and m items that share s of their d and e
-    # differ in d + e - 2s items; a link allows r * (n + m).
-    r = (100 - percent) / (100 + percent)
-    differ = F.size("gained") + F.size("lacked")
-    hn = F.col("common") + F.size("lacked")
-    x = outside.where(~is_link(percent))
-    y = met.join(x.select("main").distinct(), "main", "left_semi")
-    # what x, no link of the hub, shares at least with any y, and what any y shares with such an x
-    x = heads(x, F.greatest(F.ceil((differ - r * (F.col("n") + hn)) / (1 + r) - 1e-6), F.lit(1)))
-    y = heads(y, F.greatest(F.ceil((differ + r * (hn - F.col("n"))) / 2 - 1e-6), F.lit(1)))
-    x, y = x.alias("x"), y.alias("y")
-    u = {c: (F.col(f"x.{c}"), F.col(f"y.{c}")) for c in ("n", "g", "l", "at")}
-    needed = (sum(u["g"]) + sum(u["l"]) - r * sum(u["n"])) / 2 - 1e-6
-    # items from the one met on; those before it in either were met at an earlier row, if they are shared
-    ahead = F.least(*[F.greatest(g - at, F.lit(0)) for g, at in zip(u["g"], u["at"])]) + F.least(*[lacked - F.greatest(at - g, F.lit(0)) for g, lacked, at in zip(u["g"], u["l"], u["at"])])
-    same = (F.col("x.main") == F.col("y.main")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component"))
-    fits = F.least(*u["n"]) * 100 >= F.greatest(*u["n"]) * percent
-    pairs = ordered(x.join(y, same & fits & (ahead >= needed)).select(F.col("x.a").alias("xr"), F.col("y.a").alias("yr")), "xr", "yr")
-    return ordered(outside.where(is_link(percent)), "a", "b").union(measured(pairs, sets).where(is_link(percent)).select("a", "b"))
+def linked(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all sets(rep, n, regs, items) that have a link."""
+    rows = written(prefixes(sets, percent))
+    own = lambda c: F.col(c)
+    pivot = F.max_by(F.struct("rep", "n", "at"), F.struct("centre", "rep")).alias("p")
+    met = rows.join(rows.groupBy("item").agg(pivot, F.count("*").alias("m")).where("m > 1").drop("m"), "item")
+    links = verified(met.where((F.col("rep") != F.col("p.rep")) & fit(own, lambda c: F.col(f"p.{c}"), percent)).select(*ordered(F.col("rep"), F.col("p.rep"))).distinct(), sets, percent)
+    n = more = links.count()
+    parts_ = components(links)
+    while True:
+        last = more * 100 <= n  # the latest round added next to nothing
+        # rows of items that several components share, with the largest of these
+        r = rows.join(parts_.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        sizes = r.groupBy("item", "component").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+        mixed_ = written(r.join(main, "item"))
+        beyond = mixed_.where("component <> main")
+        if last:
+            x, y = beyond.alias("x"), mixed_.alias("y")
+            once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+            meet = (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component")) & once
+            pairs = x.join(y, meet & fit(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select(*ordered(F.col("x.rep"), F.col("y.rep"))).distinct()
+        else:
+            pivots = beyond.groupBy("item").agg(F.max_by(F.struct("rep", "n", "at", "component"), F.struct("centre", "rep")).alias("p"))
+            other = mixed_.join(pivots, "item").where(F.col("component") != F.col("p.component"))
+            pairs = other.where(fit(own, lambda c: F.col(f"p.{c}"), percent)).select(*ordered(F.col("rep"), F.col("p.rep"))).distinct()
+        found = verified(pairs, sets, percent)
+        more = found.count()
+        if more:
+            n, links = n + more, links.union(found)
+            parts_ = components(links)
+        if last:
+            return parts_
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sigs = written(d.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, regs array<short>"))
-    classes = written(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
+    """Per row: doc_id, th (hash of its text), n_shingles, component_id, first (whether id and text are the first of the component)."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"))
+    sigs = written(d.mapInArrow(_signatures(width), "doc_id long, th long, n long, s1 long, s2 long, regs array<short>"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(place).alias("place"), F.first("regs").alias("regs"))
+    classes = written(classes.select("s1", "s2", "n", "place", "regs", F.monotonically_increasing_id().alias("rep")))
     keys = classes.select("rep", F.explode(band_keys(F.col("regs"))).alias("key"))
-    pivots = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.min_by("rep", F.xxhash64("rep")).alias("drawn")).where("m > 1")
-    members = written(keys.join(pivots, "key").select("key", "rep", F.array_distinct(F.array("low", "drawn")).alias("pivots")))
-    known = classes.select("rep", "n", "regs")
-    first = ordered(members.select("rep", F.explode("pivots").alias("p")).where("rep <> p"), "rep", "p")
-    left = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    right = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & may_reach(F.col("ra"), F.col("rb"), F.lit(percent / 100))
-    first = first.join(left, "a").join(right, "b").where(fits).select("a", "b")
-    reps = members.select("rep").distinct()
-    sets = written(d.join(reps, d["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "rep long, items array<long>"))
-    links = written(measured(first, sets).where(is_link(percent)).select("a", "b"))
-    parts_ = components(links)
-    more = written(left_over(members, parts_, links, sets, percent))
-    if more.limit(1).count():
-        parts_ = components(links.union(more))
-
-    labels = classes.select("s1", "s2", "n", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n", "s1", "s2").join(labels, ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = keys.join(shared, "key", "left_semi").select("rep").distinct()
+    # a null id may share its key with a real one here: rows of one text have one set
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("id")
+    wanted = classes.join(members, "rep", "left_semi").select(key("place.doc_id"), F.col("place.th").alias("th"), "rep", "regs")
+    texts = d.select(key("doc_id"), "th", "text").join(wanted, ["id", "th"])
+    texts = texts.groupBy("id", "th", "rep").agg(F.first("text").alias("text"), F.first("regs").alias("regs"))
+    sets = written(texts.select("rep", "text", "regs").mapInArrow(_sets(width), "rep long, regs array<short>, items array<long>").select("rep", F.size("items").cast("long").alias("n"), "regs", "items"))
+    parts_ = linked(sets, percent)
+    dropped(sets)
+
+    labels = classes.select("s1", "s2", "n", "place", "rep").join(parts_.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lows = labels.groupBy("component").agg(F.min("place").alias("low"))
+    named = labels.join(lows, "component").select("s1", "s2", "n", "low")
+    out = sigs.select("doc_id", "th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    first = F.col("low.doc_id").eqNullSafe(F.col("doc_id")) & F.col("low").isNotNull() & (F.col("low.th") == F.col("th"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"), F.coalesce(first, F.lit(True)).alias("first"))
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
     g = grouped(read(spark, sf_dir))
-    return g.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the least id: five-word shingles, similarity 0.8 or more."""
-    g = grouped(docs, width=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(g, docs["doc_id"].eqNullSafe(g["__kept"]), "left_semi")
+    """One document of each group stays, the first: five-word shingles, similarity 0.8 or more."""
+    first = grouped(docs, width=5, percent=80).where("n_shingles > 0 AND first").select(F.col("doc_id").alias("id"), "th").distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.rlike(WORD).alias("words"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = d["id"].eqNullSafe(first["id"]) & (d["th"] == first["th"])
+    kept = d.where("words").join(first, same, "left_semi").groupBy("id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return kept.union(d.where("NOT words").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
