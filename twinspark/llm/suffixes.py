@@ -24,7 +24,7 @@ def _induced_waves(s, smaller, lms, size):
     counts = np.bincount(s, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms = lms[np.argsort(s[lms], kind="stable")]
     c = s[lms]
     own = np.bincount(c, minlength=size)
