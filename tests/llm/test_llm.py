@@ -226,6 +226,15 @@ def test_short_lines_go_if_repeated_exactly(spark, tmp_path):
     assert got == {d: (*near.get(d, ({1: 1, 2: 1, 3: 1, 4: 0}.get(d), 0)), hashlib.sha256(t.encode()).hexdigest()) for d, t in want.items()}
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    x, rows = "a line that stands in many documents", []
+    rows += [(1, f"{x}\nfirst"), (5, f"{x}\nunique one of five"), (5, f"unique two of five\n{x}"), (None, f"unique of none\n{x}"), (None, f"{x}\nanother of none"), (5, f"{x}\nunique one of five"), ((1 << 63) - 1, f"{x}\nlast")]
+    d = spark.createDataFrame([(i, t, "n", "t") for i, t in rows], "doc_id long, text string, __near string, th string").repartition(3)
+    got = sorted((r for r in lines.deduplicated(d, exact=1).collect()), key=str)
+    want = [(i, t if i == 1 else t.replace(f"{x}\n", "").replace(f"\n{x}", ""), "n", "t") for i, t in rows]
+    assert got == sorted([spark.createDataFrame([w], d.schema).first() for w in want], key=str)
+
+
 def test_pieces_come_back(spark, docs):
     got = pieces.decoded(pieces.encoded(docs)).collect()
     want = {r.doc_id: r.text for r in docs.collect()}

@@ -19,8 +19,9 @@ is another line. Their exact repeats are removed from `exact` characters on; the
 that is every line with a word, the functions' default is LEAST.
 
 Defined results: null text stays null; lines shorter than `exact` normalised characters, and lines without
-a word, are never removed; the order of lines is that of (id, line number), null ids last and as one document;
-rows that repeat an id are one document, whose first place of a line stays in each of them.
+a word, are never removed; the order of lines is that of (id, line number), a null id standing for 2^62 plus a
+quarter of its text's hash; rows of equal id and text are one document, whose first place of a line stays in
+each of them; rows of one id with other texts keep what they share. Columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -29,10 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .common import let, read
+from .common import WORD, let, read
 
 LEAST, BLOCK = 20, 64
-LAST = (1 << 63) - 1
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """id and th of a row: its id, or what stands for a null one, and a hash of its text."""
+    th = F.xxhash64(F.col(f"`{text_col}`"))
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.shiftrightunsigned(th, 2) + F.lit(1 << 62)).alias("id"), th.alias("th")]
 
 
 def normal(text: Column) -> Column:
@@ -46,7 +52,7 @@ def hashed(line: Column) -> Column:
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, exact: int) -> DataFrame:
-    """A row a line: id, number k, hashes h and h2, whether it is the first of its kind in the row, hashes of its halves (null if short)."""
+    """A row a line: id, th (hash of the text), number k, hashes h and h2, whether it is the first of its kind in the row, hashes of its halves (null if short)."""
 
     def own(lines):
         def rows(all_h):
@@ -55,8 +61,8 @@ def placed(docs: DataFrame, id_col: str, text_col: str, exact: int) -> DataFrame
 
         return let(F.transform(lines, lambda x: F.xxhash64(x)), rows)
 
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.explode(F.array_compact(let(normal(F.col(text_col)), own))).alias("l"))
-    return d.select("id", "l.k", "l.x.h", "l.x.h2", "l.first", "l.halves")
+    d = docs.select(*row_key(id_col, text_col), F.explode(F.array_compact(let(normal(F.col(f"`{text_col}`")), own))).alias("l"))
+    return d.select("id", "th", "l.k", "l.x.h", "l.x.h2", "l.first", "l.halves")
 
 
 def halves(line: Column) -> Column:
@@ -97,7 +103,7 @@ def variants(key: Column, own: Column, x: Column) -> Column:
 
 def near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, h2): kinds(h, h2, first) within one edit of a kind with an earlier place."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(row_key(id_col, text_col)[0], F.col(f"`{text_col}`").alias("text"))
     d = d.join(kinds.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     d = d.select("id", F.posexplode(normal(F.col("text"))).alias("k", "line")).select(F.col("id").alias("first"), "k", "line", hashed(F.col("line")).alias("x"))
     texts = d.select("first", "k", "line", "x.h", "x.h2").join(kinds, ["first", "h", "h2"]).groupBy("h", "h2", "line").agg(F.min(F.struct("first", "k")).alias("place"))
@@ -113,7 +119,7 @@ def near(docs: DataFrame, kinds: DataFrame, id_col: str, text_col: str) -> DataF
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = LEAST) -> DataFrame:
-    """(id, gone, n_near): numbers of each document's lines to remove, and how many have an edit between."""
+    """(id, th, gone, n_near): numbers of each document's lines to remove, and how many have an edit between."""
     lines = written(placed(docs, id_col, text_col, exact))
     once = lines.where("first")
     halved = once.select("h", "h2", F.explode("halves").alias("half"))
@@ -122,29 +128,34 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     kinds = written(once.groupBy("h", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     close = written(near(docs, kinds.join(able, ["h", "h2"], "left_semi").select("h", "h2", F.col("first")), id_col, text_col))
     marked = kinds.join(close, ["h", "h2"], "left").where("n > 1 OR near").select("h", "h2", F.col("first").alias("at"), F.coalesce("near", F.lit(False)).alias("near"))
-    again = lines.where(~F.col("first")).select("id", "k", F.lit(False).alias("near"))
-    gone = once.select("id", "k", "h", "h2").join(marked, ["h", "h2"]).where((F.col("id") != F.col("at")) | F.col("near")).select("id", "k", "near")
-    return gone.union(again).groupBy("id").agg(F.collect_set("k").alias("gone"), F.count_if("near").alias("n_near"))
+    again = lines.where(~F.col("first")).select("id", "th", "k", F.lit(False).alias("near"))
+    gone = once.select("id", "th", "k", "h", "h2").join(marked, ["h", "h2"]).where((F.col("id") != F.col("at")) | F.col("near")).select("id", "th", "k", "near")
+    return gone.union(again).groupBy("id", "th").agg(F.collect_set("k").alias("gone"), F.count_if("near").alias("n_near"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = LEAST) -> DataFrame:
-    """docs with text_col without the removed lines, and __lines, __removed, __near: numbers of lines."""
-    gone = removals(docs, id_col, text_col, exact).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"))
-    text = F.col(f"`{text_col}`")
-    d = docs.join(gone, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)) == F.col("__id"), "left")
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+def marked(docs: DataFrame, id_col: str, text_col: str, exact: int) -> DataFrame:
+    """Per row: row (docs' columns), text (without the removed lines), n_lines, n_removed, n_near: numbers of lines."""
+    gone = removals(docs, id_col, text_col, exact)
+    d = docs.select(*row_key(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, ["id", "th"], "left")
+    text = F.col(f"row.`{text_col}`")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    d = d.withColumn("__lines", F.coalesce(n, F.lit(0)).cast("long")).withColumn("__removed", F.when(text.isNull(), F.lit(0)).otherwise(F.greatest(F.size("__gone"), F.lit(0))).cast("long")).withColumn("__near", F.coalesce("__near", F.lit(0)).cast("long"))
-    return d.withColumn(text_col, kept).drop("__gone", "__id")
+    return d.select("row", kept.alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = LEAST) -> DataFrame:
+    """docs with text_col without the removed lines."""
+    return marked(docs, id_col, text_col, exact).select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
-    d = deduplicated(read(spark, sf_dir).select("doc_id", "text"), exact=1)
-    return d.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    d = marked(read(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", 1)
+    return d.select("row.doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a document that has no word left, and had lines removed, goes."""
-    d = deduplicated(docs, exact=1).where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    """Removes repeated lines; a document that has no word left, and had lines removed, goes. A column n_chars is counted again."""
+    d = marked(docs, "doc_id", "text", 1).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars").cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": counted}
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
