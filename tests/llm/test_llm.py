@@ -285,37 +285,60 @@ def test_letterless_texts_are_undetermined(spark, folder, texts):
     assert {k: got[k] == "und" for k in range(len(texts))} == {k: t is None or not any(c.isalpha() for c in t) for k, t in enumerate(texts)}
 
 
-def test_edited_texts_and_likeness(spark, folder, texts):
-    rows = {r.doc_id: r for r in fingerprint.op10_fingerprints(spark, folder).collect()}
-    for k, t in enumerate(texts):
-        t, n = t or "", (texts[(k + 1) % len(texts)] or "")
-        q = len(t) // 4
-        assert rows[k].edited_sha256 == hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()
-        assert rows[k].n_chars == len(t) and 0 <= rows[k].near_edited <= 1
-    assert rows[3].fingerprint == rows[11].fingerprint and rows[3].near_edited > 0.4 and rows[5].fingerprint == ""
-
-
-def test_winnowing_keeps_the_rightmost_least_hash_of_each_window(spark, texts):
-    d = spark.createDataFrame([(t,) for t in texts if t], "text string")
-    for r in d.select("text", fingerprint.winnow(F.col("text")).alias("c"), fingerprint.winnow(F.col("text"), window=1).alias("all")).collect():
-        n = max(1, len(r.all) - fingerprint.WINDOW + 1) if r.all else 0
-        want = []
-        for k in range(n):
-            x = min(r.all[k : k + fingerprint.WINDOW])
-            if x not in want:
-                want.append(x)
-        assert r.c == want
-
-
-def test_short_and_unspaced_texts_share_fingerprints_with_their_edits(spark, tmp_path):
+def plain_fingerprint(spark, texts):
+    """Winnowing by loops, from the characters' own hashes."""
+    chars = sorted({c for t in texts for c in t})
+    table = {r.c: r.h for r in spark.createDataFrame([(c,) for c in chars], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
+    whole = {r.c: r.h for r in spark.createDataFrame([(re.sub("[\x20\x09-\x0d]", "", t),) for t in texts], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
+    ones = (1 << 64) - 1
+
+    def marks(text):
+        t = re.sub("[\x20\x09-\x0d]", "", text)
+        if len(t) < 8:
+            return [(whole[t] & ones, 0)] if t else []
+        runs = []
+        for i in range(len(t) - 7):
+            h = 0
+            for c in t[i : i + 8]:
+                h = ((h << 1 | h >> 63) & ones) ^ (table[c] & ones)
+            runs.append(h)
+        out = []
+        for i in range(max(1, len(runs) - 7)):
+            at = min(range(i, min(i + 8, len(runs))), key=lambda k: (runs[k] >> 32, -k))
+            if (runs[at], at) not in out:
+                out.append((runs[at], at))
+        return out
+
+    return marks
+
+
+def alike(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def test_fingerprints_against_plain_winnowing(spark, tmp_path):
     rng = random.Random(3)
-    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), "one two three four five six", "unquestionably extraordinary", "a\U0001f600" * 3 + "bcdefgh" * 3, "zzz"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r.doc_id: r for r in fingerprint.op10_fingerprints(spark, str(tmp_path)).collect()}
-    assert all(rows[k].near_edited > 0 for k in range(4)) and rows[0].near_edited > 0.4
-    want = {k: len({c for c in zip(*(t[i:] for i in range(8)))}) for k, t in enumerate("".join(t.split()) for t in texts)}
-    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", fingerprint.winnow(F.col("text"), window=1).alias("c")).collect()
-    assert {r.doc_id: len({x >> 31 for x in r.c}) for r in every} == {**want, 4: 1}
+    texts = [prose(rng, n) for n in (1, 2, 5, 9, 30, 60, 200)] + ["", " \n", "aaaaaaaa" * 9, "One", "\U0001f600 text\x00 Ü" * 7, "x" * 29, "y" * 31 + "z" * 15]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300)), "unquestionably extraordinary", texts[5]]
+    ids = [k * k for k in range(len(texts) - 1)] + [10**15]
+    spark.createDataFrame([*zip(ids, texts, strict=True), (None, "of no id"), (None, None)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    edits = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    marks = plain_fingerprint(spark, texts + edits)
+    show = lambda m: " ".join(f"{h:x}@{at}" for h, at in m)
+    got = {r.doc_id: r for r in fingerprint.op10_fingerprints(spark, str(tmp_path)).collect()}
+    for k, i in enumerate(ids):
+        own, edited, after = marks(texts[k]), marks(edits[k]), marks(texts[(k + 1) % len(texts)])
+        assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].n_chars) == (show(own), show(edited), len(texts[k]))
+        assert got[i].edited_sha256 == hashlib.sha256(edits[k].encode()).hexdigest()
+        assert abs(got[i].near_edited - alike(own, edited)) < 1e-12 and abs(got[i].near_next - alike(own, after)) < 1e-12
+    assert 0 <= got[None].near_next <= 1 and got[ids[5]].fingerprint == got[ids[-1]].fingerprint
+
+
+def test_blocks_at_quantiles_of_ids(spark):
+    ids = [*range(0, 6000, 2), 1 << 60]
+    d = fingerprint.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, t string"), "t", block=100)
+    assert {r.doc_id: r.next.t for r in d.collect()} == {i: str(n) for i, n in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
 def luhn(x):
