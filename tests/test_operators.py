@@ -65,7 +65,7 @@ def test_scope_penalty(spark):
 
 
 def test_overlap_chain_merges(spark):
-    f = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c", "d"]), (3, ["x", "y"])], "finding int, members array<string>")
+    f = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c", "d"]), (3, ["x", "y"])], "finding int, members array<string>").withColumn("kind", F.lit("group")).withColumn("score", F.col("finding") * -1.0)
     got = {r.finding: r.members for r in findings.merged_overlaps(f).collect()}
     assert got == {1: ["a", "b", "c", "d"], 3: ["x", "y"]}
 
@@ -76,7 +76,7 @@ def test_elevation(spark):
 
 
 def test_names_and_paths(spark):
-    r = spark.range(1).select(X.name_tokens(F.lit("getHTTPUserName_v2")).alias("t"), X.service(F.lit("./x/services/pay/a.py")).alias("s"), X.language_of(F.lit("a/b.h")).alias("l"), X.finding_id(F.lit("b"), F.lit("a")).alias("i")).first()
+    r = spark.range(1).select(X.name_tokens(F.lit("getHTTPUserName_v2")).alias("t"), X.service(F.lit("./services/pay/x/a.py")).alias("s"), X.language_of(F.lit("a/b.h")).alias("l"), X.finding_id(F.lit("b"), F.lit("a")).alias("i")).first()
     assert (r.t, r.s, r.l, r.i) == (["get", "http", "user", "name", "v2"], "services/pay", "c", "a||b")
 
 
@@ -84,6 +84,17 @@ def test_discovery(spark):
     paths = ["src/a.py", "src/.git/b.py", "node_modules/c.js", "tests/test_a.py", "src/x.min.js", "readme.md"]
     got = files.discovered(spark.createDataFrame([(p,) for p in paths], "path string")).select("path").collect()
     assert [r.path for r in got] == ["src/a.py"]
+    below = spark.createDataFrame([("/home/u/.work/build/src/a.py",), ("/home/u/.work/build/specs/b.py",), ("/home/u/.work/build/conftest.py",), ("/home/u/.work/build/vendor/c.go",), ("/home/u/.work/build/d.go",)], "path string")
+    assert [r.path[-8:] for r in files.discovered(below, root="/home/u/.work/build").collect()] == ["src/a.py", "ild/d.go"]
+    assert [r.path[-8:] for r in files.discovered(below, root="/home/u/.work/build/", languages=["go"], ignore=["d.*"]).collect()] == []
+
+
+def test_source_tree(spark, tmp_path):
+    for p in ("build/src/a.py", "build/tests/b.py", "build/.x/c.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("def f(): pass")
+    got = files.source_tree(spark, str(tmp_path / "build")).collect()
+    assert [(r.filepath, r.language, r.size_bytes) for r in got] == [("src/a.py", "python", 13)]
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):

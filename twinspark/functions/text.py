@@ -67,12 +67,41 @@ def parent(path: Column | str) -> Column:
     return F.regexp_replace(col(path), r"/?[^/]*$", "")
 
 
+def slashed(path: Column | str) -> Column:
+    return F.regexp_replace(F.regexp_replace(col(path), r"\\", "/"), r"^\./", "")
+
+
 def service(path: Column | str) -> Column:
-    """Nearest root of services and the folder in it, or null."""
-    found = F.regexp_extract(F.regexp_replace(F.regexp_replace(col(path), r"\\", "/"), r"^\./", ""), rf"(?:^|/)((?:{'|'.join(SERVICE_ROOTS)})/[^/]+)/", 1)
+    """The root of services that the path starts with and the folder in it, or null."""
+    found = F.regexp_extract(slashed(path), rf"^((?:{'|'.join(SERVICE_ROOTS)})/[^/]+)/", 1)
     return F.when(found != "", found)
 
 
+def boundaries(path: Column | str) -> Column:
+    """All root/folder pairs of services in a path, wherever they stand."""
+    parts = F.split(col(path), "/")
+    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).isin(*SERVICE_ROOTS) & (i + 1 < F.size(parts)))
+    return F.transform(at, lambda i: F.concat_ws("/", F.get(parts, i), F.get(parts, i + 1)))
+
+
+def end_parts(end: Column | str) -> Column:
+    """struct<path, name, mark> of one end path:name:mark of a finding id; a path may hold colons."""
+    part = lambda k: F.regexp_extract(col(end), r"^(.*):([^:]*):([^:]*)$", k)
+    return F.struct(part(1).alias("path"), part(2).alias("name"), part(3).alias("mark"))
+
+
+def common_folder(paths: Column) -> Column:
+    """Longest run of leading folders that all paths share, with a slash at its end; empty without one."""
+    folders = F.transform(paths, lambda p: F.slice(F.split(p, "/"), F.lit(1), F.size(F.split(p, "/")) - 1))
+
+    def shared(a: Column, b: Column) -> Column:
+        n = F.least(F.size(a), F.size(b))
+        return F.slice(a, F.lit(1), F.coalesce(F.get(F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(a, i) != F.get(b, i))), 0), F.lit(0)).cast("int"))
+
+    run = F.aggregate(folders, F.get(folders, 0), shared)
+    return F.when(F.size(run) > 0, F.concat(F.array_join(run, "/"), F.lit("/"))).otherwise("")
+
+
 def language_of(path: Column | str) -> Column:
     ending = F.lower(F.regexp_extract(col(path), r"(\.[A-Za-z]+)$", 1))
     return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ending]
@@ -103,10 +132,14 @@ def glob_pattern(glob: str) -> str:
 
 
 def ignored(path: Column | str, patterns: list[str]) -> Column:
-    """Whether a pattern is a component of the path, a prefix of it, or a glob of it or of its last part."""
+    """Whether a relative path is ignored: plain names match a component, others a prefix, or as globs the path or its last part."""
     p = col(path)
+    last = F.substring_index(p, "/", -1)
     hit = F.lit(False)
     for x in patterns:
-        bare = x.strip("/")
-        hit = hit | F.array_contains(F.split(p, "/"), bare) | F.startswith(p, F.lit(bare + "/")) | p.rlike("^" + glob_pattern(bare)) | F.substring_index(p, "/", -1).rlike("^" + glob_pattern(bare))
+        bare = x.rstrip("/")
+        if "/" not in bare and not set(bare) & set("*?["):
+            hit = hit | F.array_contains(F.split(p, "/"), bare)
+        else:
+            hit = hit | F.startswith(p, F.lit(bare)) | p.rlike("^" + glob_pattern(x)) | last.rlike("^" + glob_pattern(x))
     return hit

@@ -43,33 +43,65 @@ def subset_suppressed(findings: DataFrame) -> DataFrame:
 
 
 def merged_overlaps(findings: DataFrame, group_least: float = 0.60, other_least: float = 0.70) -> DataFrame:
-    """findings(finding, members): overlapping ones folded in order within each block that shares members.
+    """findings(finding, members, score, kind): overlapping ones merged in order within each block that shares members.
 
-    Blocks are connected by shared members and folded one by one; a block is as large as its
-    overlap, not as the table.
+    Of two that overlap enough the one of higher score stays, then the one of more members, then the earlier; it takes
+    the members of both. Groups merge with groups from a lower overlap on. Blocks are connected by shared members
+    and worked one by one, as the outcome of a merge depends on those before it.
     """
     m = findings.select("finding", F.explode("members").alias("u"))
     first = m.groupBy("u").agg(F.min("finding").alias("a"))
     c = components(m.join(first, "u").select("a", F.col("finding").alias("b")).where("a <> b"))
     blocks = findings.join(c.withColumnRenamed("node", "finding"), "finding", "left").withColumn("block", F.coalesce("component", "finding")).drop("component")
 
-    def fold(pdf):
-        import pandas as pd
-
-        out = []
-        for f, members in sorted(zip(pdf["finding"], pdf["members"], strict=True)):
-            s = set(members)
-            for kept in out:
-                bar = group_least if len(s) >= 3 and len(kept[1]) >= 3 else other_least
-                if len(s & kept[1]) / len(s | kept[1]) >= bar:
-                    kept[1] |= s
+    def merged(pdf):
+        live = [{"finding": r.finding, "members": set(r.members), "score": r.score, "kind": r.kind} for r in pdf.sort_values("finding").itertuples()]
+        at = 0
+        while at < len(live):
+            x, k = live[at], at + 1
+            while k < len(live):
+                y = live[k]
+                bar = group_least if x["kind"] == y["kind"] == "group" else other_least
+                both = x["members"] | y["members"]
+                if not both or len(x["members"] & y["members"]) < bar * len(both):
+                    k += 1
+                    continue
+                later = (y["score"], len(y["members"])) > (x["score"], len(x["members"]))
+                (y if later else x)["members"] = both
+                del live[at if later else k]
+                if later:
                     break
             else:
-                out.append([f, s])
-        return pd.DataFrame({"finding": [f for f, _ in out], "members": [sorted(s) for _, s in out]})
+                at += 1
+        out = pdf.iloc[[list(pdf["finding"]).index(x["finding"]) for x in live]].drop(columns="block")
+        return out.assign(members=[sorted(x["members"]) for x in live])
+
+    return blocks.groupBy("block").applyInPandas(merged, findings.schema)
 
-    kind = findings.schema["finding"].dataType.simpleString()
-    return blocks.groupBy("block").applyInPandas(fold, f"finding {kind}, members {findings.schema['members'].dataType.simpleString()}")
+
+def rebuilt(members: DataFrame) -> DataFrame:
+    """members(unit, finding, score, kind): findings of the units that are assigned to them.
+
+    Groups of three or more stay, of two become pairs, others go; a pair needs both of its units.
+    """
+    kept = assigned(members).groupBy("finding", "kind").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("unit")).alias("units"))
+    return kept.where("size >= 2").select("finding", F.when((F.col("kind") == "group") & (F.col("size") >= 3), "group").otherwise("pair").alias("kind"), "size", "units")
+
+
+def described(matches: DataFrame, apart: str = "cross_service_reference") -> DataFrame:
+    """matches(a, b, score, reuse): a row a component of each reuse kind with members, number of matches and best match.
+
+    Matches of the kind `apart` are never grouped: each is a finding of its own.
+    """
+    alone = matches.where(F.col("reuse") == apart).select("reuse", F.least("a", "b").alias("component"), F.array_sort(F.array("a", "b")).alias("members"), F.lit(1).cast("long").alias("match_count"), "a", "b", "score")
+    kinds = matches.where(F.col("reuse") != apart)
+    ends = lambda c: F.struct("reuse", F.col(c).alias("unit"))
+    c = components(kinds.select(ends("a").alias("a"), ends("b").alias("b")))
+    c = c.select(F.col("node.reuse").alias("reuse"), F.col("node.unit").alias("unit"), F.col("component.unit").alias("component"))
+    members = c.groupBy("reuse", "component").agg(F.array_sort(F.collect_list("unit")).alias("members"))
+    best = F.max_by(F.struct("a", "b", "score"), F.struct("score", -F.col("a"), -F.col("b"))).alias("best")
+    m = kinds.join(c.withColumnRenamed("unit", "a"), ["reuse", "a"]).groupBy("reuse", "component").agg(F.count("*").alias("match_count"), best)
+    return members.join(m, ["reuse", "component"]).select("reuse", "component", "members", "match_count", "best.*").unionByName(alone)
 
 
 def assigned(members: DataFrame) -> DataFrame:
@@ -87,23 +119,43 @@ def elevated(rows: DataFrame, finding: str = "finding", file: str = "file", seve
 
 
 def unsuppressed(findings: DataFrame, listed: DataFrame) -> DataFrame:
-    """findings(finding_id, a, b, a_hash, b_hash) less those that the list covers.
+    """findings(finding_id, a_hash, b_hash) less those that the list covers.
 
-    listed(id, verdict, source_hash, existing_hash, stable_key): dismissed ids are always covered, intentional
-    ones while the hashes are as stored; a dismissed entry also covers what shares an end with its stable key.
+    listed(ord, id, verdict, source_hash, existing_hash): the first entry of a finding's id decides. Dismissed ones are
+    covered, intentional ones while both stored hashes are as the first eight characters of the finding's, in either
+    order, or if one is missing. A finding without an entry is covered if it shares an end, its mark aside,
+    with a dismissed one.
     """
-    own = listed.select(F.col("id").alias("finding_id"), "verdict", "source_hash", "existing_hash")
-    stored = F.coalesce("source_hash", F.lit("")) != ""
-    same = ((F.col("source_hash") == F.col("a_hash")) & (F.col("existing_hash") == F.col("b_hash"))) | ((F.col("source_hash") == F.col("b_hash")) & (F.col("existing_hash") == F.col("a_hash")))
-    by_id = findings.join(own, "finding_id").where((F.col("verdict") == "dismissed") | ~stored | same).select("finding_id")
-    ends = listed.where("verdict = 'dismissed'").select(F.explode(F.split("stable_key", r"\|\|")).alias("end")).distinct()
+    entry = listed.groupBy(F.col("id").alias("finding_id")).agg(F.min_by(F.struct("verdict", "source_hash", "existing_hash"), "ord").alias("entry"))
     cut = lambda c: F.regexp_replace(c, r":[^:]*$", "")
-    touched = findings.select("finding_id", F.explode(F.array(cut("a"), cut("b"))).alias("end")).join(ends, "end", "left_semi").select("finding_id")
-    return findings.join(by_id.union(touched).distinct(), "finding_id", "left_anti")
+    ends = lambda c: F.transform(F.split(c, r"\|\|"), cut)
+    dismissed = listed.where((F.col("verdict") == "dismissed") & (F.size(ends("id")) == 2)).select(F.explode(ends("id")).alias("end")).distinct()
+    touched = findings.where(F.size(ends("finding_id")) == 2).select("finding_id", F.explode(ends("finding_id")).alias("end")).join(dismissed, "end", "left_semi").select("finding_id").distinct()
+    s, e = F.coalesce("entry.source_hash", F.lit("")), F.coalesce("entry.existing_hash", F.lit(""))
+    a, b = F.left("a_hash", F.lit(8)), F.left("b_hash", F.lit(8))
+    same = ((a == s) & (b == e)) | ((a == e) & (b == s))
+    covered = (F.coalesce("entry.verdict", F.lit("intentional")) == "dismissed") | (s == "") | (e == "") | same
+    d = findings.join(entry, "finding_id", "left").join(touched.withColumn("near", F.lit(True)), "finding_id", "left")
+    return d.where(~F.when(F.col("entry").isNotNull(), covered).otherwise(F.coalesce("near", F.lit(False)))).select(*findings.columns)
+
+
+def pruned(listed: DataFrame, live: DataFrame) -> DataFrame:
+    """Entries of listed(id, verdict) that still stand for a live(finding_id): by id, dismissed ones by stable key as well."""
+    cut = lambda c: F.array_join(F.array_sort(F.transform(F.split(c, r"\|\|"), lambda x: F.regexp_replace(x, r":[^:]*$", ""))), "||")
+    by_id = listed.join(live.select(F.col("finding_id").alias("id")), "id", "left_semi")
+    keyed = listed.where("verdict = 'dismissed'").withColumn("stable", cut("id")).join(live.select(cut("finding_id").alias("stable")), "stable", "left_semi")
+    return by_id.unionByName(keyed.select(*listed.columns)).distinct()
+
+
+def should_fail(severities: DataFrame, bar: Column, severity: str = "severity") -> DataFrame:
+    """Whether any severity reaches the bar (extract over review); an unknown bar asks for extract."""
+    rank = lambda c: F.when(c == "extract", 2).when(c == "review", 1)
+    return severities.agg(F.coalesce(F.bool_or(F.coalesce(rank(F.col(severity)), F.lit(0)) >= F.coalesce(rank(bar), F.lit(2))), F.lit(False)).alias("fail"))
 
 
 def health(totals: DataFrame) -> DataFrame:
-    """totals(total, extract, review) -> score 0..100, grade, redundancy percent."""
+    """totals(total, extract, review) -> score 0..100 and grade; null counts are 0."""
+    totals = totals.fillna(0, ["total", "extract", "review"])
     scale = F.greatest(F.col("total") / 50, F.lit(1.0))
     raw = 100 - (5 * F.col("extract") + 2 * F.col("review")) / scale
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(raw, 0)))

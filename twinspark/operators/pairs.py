@@ -15,7 +15,7 @@ ABSTRACT, CONCRETE = ("interface", "protocol", "abstract", "trait"), ("class", "
 CONSTRUCTORS = ("__init__", "constructor", "__new__", "new", "init", "initialize")
 HEALTH_NAMES = ("health", "healthcheck", "health_check", "readiness", "liveness")
 LIFE_NAMES = ("lifespan", "startup", "shutdown")
-CRUD = ("get", "set", "create", "update", "delete", "remove", "add", "list", "fetch", "save", "load", "find", "insert", "read", "write", "put", "post", "patch", "edit", "destroy")
+CRUD = ("get", "set", "create", "update", "delete", "remove", "list", "fetch", "insert", "upsert", "patch", "find", "search", "reset", "activate", "deactivate", "enable", "disable", "start", "stop")
 HTTP_NAMES = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 ROUTES = ("route.ts", "route.js", "route.tsx")
 PAGES = {"page.tsx": ("default", "generateMetadata", "generateStaticParams"), "page.jsx": ("default", "generateMetadata", "generateStaticParams"), "page.ts": ("default", "generateMetadata", "generateStaticParams"), "layout.tsx": ("default", "generateMetadata"), "layout.jsx": ("default", "generateMetadata"), "loading.tsx": ("default",), "error.tsx": ("default",), "not-found.tsx": ("default",)}
@@ -128,7 +128,7 @@ def drop_reason(source: str = "source", existing: str = "existing", batch: bool
     if batch:
         out = (
             out.when(yes(same_file & (F.col("match_type") == "exact_structure") & ~same_name & short), "same_file_short")
-            .when(yes(~same_name & (F.size(ta) > 1) & (F.size(tb) > 1) & (F.get(ta, 0) == F.get(tb, 0)) & ~long_), "same_verb")
+            .when(yes(~same_name & (F.size(ta) > 1) & (F.size(tb) > 1) & (F.get(ta, 0) == F.get(tb, 0)) & (ta != tb) & ~long_), "same_verb")
             .when(yes(verbs & (least > 0) & (F.slice(na, F.lit(1), F.greatest(least, F.lit(1))) == F.slice(nb, F.lit(1), F.greatest(least, F.lit(1)))) & ~long_), "crud_pair")
             .when(yes(web & ~same_name & markup(s) & markup(e) & (same_file | short)), "markup_wrapper")
         )
@@ -154,3 +154,23 @@ def overlap_pairs(units: DataFrame, key: str, tokens: str, least: float) -> Data
     p = common.join(sizes.withColumnsRenamed({"k": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"k": "b", "n": "nb"}), "b")
     j = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     return p.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+#: How comments, headers and ends of blocks begin or look.
+COMMENT = r"^(?://|#|/\*|\*)"
+HEADER = r"^(?:def |async def |function |async function |func |fn |export |export async |public |private |protected )"
+CLOSING = ("}", "};", ")", ");", "end", "})", "});")
+
+
+def is_trivial(source: Column) -> Column:
+    """Whether a function's body is one statement, a bare delegate, or a guard with one call."""
+    lines = F.filter(F.transform(F.split(source, r"\r\n|\r|\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\t", " "))), lambda x: (x != "") & ~x.rlike(COMMENT))
+    body = F.filter(lines, lambda x: ~x.rlike(HEADER) & ~x.isin(*CLOSING) & ~F.endswith(x, F.lit("{")))
+
+    def judged(b: Column) -> Column:
+        returns = F.filter(b, lambda x: F.startswith(x, F.lit("return ")))
+        delegate = (F.size(returns) == 1) & F.coalesce(F.trim(F.substring(F.get(returns, 0), 8, 1 << 20)).rlike(r"^[^(]*\(\)$"), F.lit(False)) & ~F.exists(b, lambda x: ~x.rlike("^(?:return |from |import |\"\"\"|\x27\x27\x27)"))
+        guard = F.exists(b, lambda x: (x == "return") | (F.contains(x, F.lit("return")) & F.contains(x, F.lit("if ")))) & (F.size(F.filter(b, lambda x: ~x.rlike("^(?:if |return|else|elif)"))) <= 1)
+        return (F.size(b) <= 1) | ((F.size(b) <= 3) & (delegate | guard))
+
+    return F.get(F.transform(F.array(body), judged), 0)

@@ -28,6 +28,11 @@ def changed(before: DataFrame, now: DataFrame, key: str, stamps: list[str]) -> D
     return j.select(F.coalesce(key, "__b").alias(key), status.alias("status"))
 
 
-def missing(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
-    """Rows without a result yet."""
-    return rows.join(done.select(*key), key, "left_anti")
+def missing(rows: DataFrame, done: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
+    """Rows without a result yet; with `version`, results of another one of that column's values don't count."""
+    return rows.join(done.select(*key, *([version] if version else [])), key + ([version] if version else []), "left_anti")
+
+
+def removed(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """rows without those of gone's keys."""
+    return rows.join(gone.select(*key).distinct(), key, "left_anti")

@@ -92,7 +92,7 @@ def finding_ids(spark, sf_dir):
     return m.select("a", "b", X.finding_id("x", "y").alias("finding_id"), X.stable_key("x", "y").alias("stable_key"))
 
 
-@query(r"SELECT page_id, nullif(regexp_extract('apps/' || regexp_replace(url, '^https?://', ''), '(?:^|/)((?:services|apps|packages|microservices)/[^/]+)/', 1), '') AS service, array_to_string(list_slice(string_split(url, '/'), -4, -1), '/') AS short FROM pages")
+@query(r"SELECT page_id, nullif(regexp_extract('apps/' || regexp_replace(url, '^https?://', ''), '^((?:services|apps|packages|microservices)/[^/]+)/', 1), '') AS service, array_to_string(list_slice(string_split(url, '/'), -4, -1), '/') AS short FROM pages")
 def service_of_url(spark, sf_dir):
     path = F.concat(F.lit("apps/"), F.regexp_replace("url", "^https?://", ""))
     return table(spark, sf_dir, "pages").select("page_id", X.service(path).alias("service"), X.short_path("url").alias("short"))
@@ -276,14 +276,8 @@ def finding_groups(spark, sf_dir):
     return findings.groups(close(spark, sf_dir)).drop("score")
 
 
-@query("WITH f AS (SELECT o_orderkey AS finding, list_sort(list(DISTINCT l_suppkey)) AS members FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 1 GROUP BY o_orderkey) SELECT finding, array_to_string(members, ',') AS members FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.finding <> f.finding AND len(g.members) > len(f.members) AND list_has_all(g.members, f.members))")
-def subset_suppression(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 1").groupBy(F.col("l_orderkey").alias("finding")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
-    return findings.subset_suppressed(f).select("finding", F.array_join("members", ",").alias("members"))
-
-
 @query("WITH f AS (SELECT l_orderkey AS finding, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem GROUP BY l_orderkey), u AS (SELECT finding, len(members) AS n, unnest(members) AS u FROM f), i AS (SELECT x.finding FROM u x JOIN u y ON x.u = y.u AND x.n < y.n GROUP BY x.finding, y.finding, x.n HAVING count(*) = x.n) SELECT finding, array_to_string(members, ',') AS members FROM f WHERE finding NOT IN (SELECT finding FROM i)")
-def subset_suppression_all(spark, sf_dir):
+def subset_suppression(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("finding")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("members"))
     return findings.subset_suppressed(f).select("finding", F.array_join("members", ",").alias("members"))
 
@@ -362,12 +356,12 @@ def _findings(spark, sf_dir: str) -> DataFrame:
 FOUND = f"WITH {U}, {PAIRS}, q AS (SELECT doc_id, ast_hash, filepath || ':' || name || ':' || lineno::VARCHAR AS q, filepath || ':' || name AS s FROM units), f AS (SELECT least(x.q, y.q) || '||' || greatest(x.q, y.q) AS finding_id, x.s AS xs, y.s AS ys, a % 4 AS k, x.ast_hash AS h FROM p JOIN q x ON a = x.doc_id JOIN q y ON b = y.doc_id)"
 
 
-@query(f"{FOUND}, ends AS (SELECT xs AS s FROM f WHERE k = 0 UNION SELECT ys FROM f WHERE k = 0) SELECT finding_id FROM f WHERE k NOT IN (0, 1) AND xs NOT IN (SELECT s FROM ends) AND ys NOT IN (SELECT s FROM ends)")
+@query(f"{FOUND}, ends AS (SELECT xs AS s FROM f WHERE k = 0 UNION SELECT ys FROM f WHERE k = 0) SELECT finding_id FROM f WHERE k = 2 OR k = 3 AND xs NOT IN (SELECT s FROM ends) AND ys NOT IN (SELECT s FROM ends)")
 def suppressed_findings(spark, sf_dir):
     f = _findings(spark, sf_dir)
     verdict = F.when(F.col("k") == 0, "dismissed").otherwise("intentional")
-    stored = F.when(F.col("k") == 2, "changed").otherwise(F.col("a_hash"))
-    listed = f.where("k <= 2").select(F.col("finding_id").alias("id"), verdict.alias("verdict"), stored.alias("source_hash"), F.col("b_hash").alias("existing_hash"), F.col("stable").alias("stable_key"))
+    stored = F.when(F.col("k") == 2, "changed").otherwise(F.left("a_hash", F.lit(8)))
+    listed = f.where("k <= 2").select(F.col("finding_id").alias("id"), verdict.alias("verdict"), stored.alias("source_hash"), F.left("b_hash", F.lit(8)).alias("existing_hash"), F.lit(0).alias("ord"))
     return findings.unsuppressed(f, listed).select("finding_id")
 
 
@@ -423,10 +417,13 @@ def relevance_tier(spark, sf_dir):
     return graph.relevance(nodes, related, nodes.select("node", F.length("node").alias("domain")), 4)
 
 
-@query("WITH w AS (SELECT conv_id AS module, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), t(rank, domain, hit) AS (VALUES (0, 'the', 'the'), (0, 'the', 'that'), (1, 'and', 'and'), (1, 'and', 'of')), h AS (SELECT module, rank, domain, count(*) AS n FROM w JOIN t ON word = hit GROUP BY ALL), b AS (SELECT module, max_by(domain, (n, -rank)) AS domain FROM h GROUP BY module) SELECT m.module, coalesce(domain, 'general') AS domain FROM (SELECT DISTINCT module FROM w) m LEFT JOIN b ON m.module = b.module")
+HITS = ", ".join(f"({i}, '{d}', '{w}')" for i, (d, ws) in enumerate(graph.DOMAINS.items()) for w in ws)
+
+
+@query(f"WITH w AS (SELECT DISTINCT conv_id AS module, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), t(rank, domain, hit) AS (VALUES {HITS}), h AS (SELECT module, rank, domain, count(*) AS n FROM w JOIN t ON word = hit GROUP BY ALL), b AS (SELECT module, max_by(domain, (n, -rank)) AS domain FROM h GROUP BY module) SELECT m.module, coalesce(domain, 'general') AS domain FROM (SELECT DISTINCT module FROM w) m LEFT JOIN b ON m.module = b.module")
 def domain_cluster(spark, sf_dir):
     w = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("module"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return graph.domain_of(w, domains={"the": ("the", "that"), "and": ("and", "of")})
+    return graph.domain_of(w)
 
 
 # evaluation

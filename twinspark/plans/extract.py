@@ -71,7 +71,7 @@ def functions_of(path: str, source: str | None) -> list[dict]:
             "has_return": any(isinstance(x, ast.Return) and x.value is not None for x in ast.walk(f)), "return_type": ast.unparse(f.returns) if f.returns else None,
             "class_name": cls.name if cls else None, "class_type": kind, "calls_made": sorted({c for x in ast.walk(f) if isinstance(x, ast.Call) and (c := _called(x))}),
             "imports_used": imports, "decorators": [ast.unparse(d) for d in f.decorator_list],
-            "visibility": "private" if n.startswith("__") and not n.endswith("__") else "internal" if n.startswith("_") and not n.startswith("__") else "public", "is_nested": nested, "language": "python",
+            "visibility": "private" if n.startswith("_") and not (n.startswith("__") and n.endswith("__")) else "public", "is_nested": nested, "language": "python",
         }
 
     visit(tree, None, False)

@@ -24,9 +24,9 @@ def tumbling(events: DataFrame, kind: str, ts: str = "ts", width: str = "1 hour"
 
 
 def checked(stream: DataFrame, known: DataFrame, key: str, sink: str, checkpoint: str):
-    """Every micro-batch's rows against a table of known hashes; matches are appended to sink."""
+    """Every micro-batch's rows against a table of known hashes; matches go to a folder of their epoch, so a batch that is tried again replaces its own."""
 
     def batch(df, epoch):
-        df.join(known, key).write.mode("append").parquet(sink)
+        df.join(known, key).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
