@@ -359,11 +359,38 @@ def test_pseudonyms(spark):
 
 def test_pseudonyms_are_permutations(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("x"))
-    assert d.select(pseudonyms.digits_permuted(F.col("x"), F.lit("t")).alias("y")).distinct().count() == 1000
+    assert d.select(pseudonyms.digits_permuted(F.col("x"), F.lit("t"), "k").alias("y")).distinct().count() == 1000
     days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("x"))
     assert days.select(pseudonyms._date(F.col("x"), "k").alias("y")).where("y is not null").distinct().count() == 3000
 
 
+def plain_characters(x, alphabets, tag, key):
+    left, right = x[: len(x) // 2], x[len(x) // 2 :]
+    for k in range(8):
+        half, other, out = (left, right, "") if k % 2 == 0 else (right, left, "")
+        for i, c in enumerate(half):
+            d = hashlib.sha256(f"{key}|{tag}|{len(x)}|{k}|{i // 16}|{other}".encode()).hexdigest()[i % 16 * 4 :][:4]
+            a = next((a for a in alphabets if c in a), None)
+            out += a[(a.index(c) + int(d, 16)) % len(a)] if a else c
+        left, right = (out, right) if k % 2 == 0 else (left, out)
+    return left + right
+
+
+def test_characters_against_a_plain_network(spark):
+    rng = random.Random(2)
+    every = [pseudonyms.LOWER, pseudonyms.UPPER, pseudonyms.DIGITS]
+    xs = ["a", "Z", "7", "a.b+c", "", "j.Doe_99"] + ["".join(rng.choice("abcXYZ019._") for _ in range(n)) for n in (2, 15, 16, 17, 33, 70)] + [f"{a}{b}" for a in "abcdef" for b in pseudonyms.LOWER]
+    d = spark.createDataFrame([(x,) for x in xs], "x string").select("x", pseudonyms.characters_permuted(F.col("x"), every, "mail", "k").alias("y"))
+    got = {r.x: r.y for r in d.collect()}
+    assert got == {x: plain_characters(x, every, "mail", "k") for x in xs} and len(set(got.values())) == len(set(xs))
+
+
+def test_keys_of_pseudonyms(spark):
+    d = spark.createDataFrame([(1, "write to jane.doe@x.example")], "doc_id long, text string")
+    texts = [pseudonyms.pseudonymised(d, key=k).first().text for k in (None, None, "a", "b")]
+    assert texts[0] == texts[1] and len(set(texts)) == 3 and all(re.fullmatch(r"write to [a-z]{4}\.[a-z]{3}@x\.example", t) for t in texts)
+
+
 def test_boilerplate_of_a_host(spark):
     rng = random.Random(1)
     rows = [(k, "Follow us on all our channels now and every day please\n" + prose(rng, 30), "h" if k < 40 else f"o{k}") for k in range(60)] + [(99, "Follow us on all our channels now and every day please\n" * 2 + "w1 w2", "h")]
@@ -377,6 +404,14 @@ def test_licence_notices(spark):
     assert got == {1: "MIT", 2: None, 3: "Apache-2.0"}
 
 
+@pytest.mark.parametrize("name, disclaimer", [("BSD-3-Clause", licences.BSD_DISCLAIMER), ("MIT", licences.MIT_DISCLAIMER), ("ISC", licences.ISC_DISCLAIMER)])
+def test_whole_licence_files(spark, name, disclaimer):
+    granted = next(t for n, t in licences.TEMPLATES if n == name and len(t) > 100)
+    text = f"{name} License\n\nCopyright (c) 2020, Jane Doe. All rights reserved.\n\n" + granted.replace(". ", ".\n\n") + "\n\n" + disclaimer.replace(", ", ",\n")
+    r = licences.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.licence == name and r.dice > 0.9
+
+
 def test_licences_with_other_or_many_separators(spark, same, tmp_path):
     wrapped = "Licensed under\nthe MIT License.\n"
     texts = ["Licensed\nunder\nthe\nMIT\nLicense.", "Licensed\tunder\tthe\tMIT\tLicense.", "\n".join(" " * 35 + x for x in ["Licensed under", "the MIT License."] + ["//"] * 10), wrapped * 200]
@@ -385,15 +420,88 @@ def test_licences_with_other_or_many_separators(spark, same, tmp_path):
     assert {k: v[0] for k, v in got.items()} == dict.fromkeys(range(4), "MIT") and got[0][1] == got[1][1] == got[2][1] == 1.0
 
 
-def test_pipeline_against_its_parts(spark):
+def plain_pipeline(model, rows):
+    """Rows (doc_id, text, source) through the five stages by plain loops; -> sorted (doc_id, ids)."""
+    rows = [r for r in rows if model.predict(r[1])[2]]
+    # lines
+    places = [(i, k, re.sub("[\x20\x09-\x0d]+", " ", x.lower()).strip(" ")) for i, t, _ in rows for k, x in enumerate(t.split("\n"))]
+    first = {}
+    for i, k, x in sorted(places):
+        first.setdefault(x, (i, k))
+    near = {x for x in first if len(x) >= 20 and any(len(y) >= 20 and first[y] < first[x] and one_edit(x, y) for y in first)}
+    gone = {(i, k) for i, k, x in places if x and (x in near or first[x] != (i, k))}
+    cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone), s) for i, t, s in rows]
+    rows = [c for c, r in zip(cut, rows, strict=True) if c[1] == r[1] or word_list(c[1])]
+    # near duplicates
+    sets = []
+    for _, t, _ in rows:
+        w = word_list("".join(c.lower() if c.isascii() else c for c in t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    rows = [r for k, r in enumerate(rows) if up[k] == k]
+    # mix
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(word_list(t))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(size.values()), list(order)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 2 * size[s]]
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = 2 * size[s]
+            left -= target[s]
+        open_ = [s for s in open_ if s not in full]
+    coder, out = pieces.Coder(), []
+    for i, t, s in rows:
+        rate = min(2.0, target[s] / size[s]) if size[s] else 0.0
+        draw = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        out += [(i, tuple(coder.encode(t)))] * (int(rate) + (draw < rate - int(rate)))
+    return sorted(out)
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    import corpus_pipeline
+
+    real = [r for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90").orderBy("doc_id").collect() if r.text]
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in real]
+    base = real[0].text.replace("\n", " ")
+    rows += [(500 + k, f"{base} {k}", real[0].lang, "s9") for k in range(4)] + [(600, real[3].text, real[3].lang, None), (601, "qzx9 wvk#7 " * 30, None, "s9"), (602, None, None, "s9"), (603, "", None, "s9"), (604, real[5].text.split("\n")[0], real[5].lang, "s9")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, row string, id int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.fit(langid.sample(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    assert not model.predict("qzx9 wvk#7 " * 30)[2] and model.predict(real[0].text)[2]
+    got = sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == plain_pipeline(model, [(i, t, s) for i, t, _, s in rows])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, empty):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    d = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        d = stage(spark, d, SF)
-        assert d.columns == docs.columns
-    want = sorted((r.doc_id, tuple(pieces.Coder().encode(r.text))) for r in d.limit(5).collect())
-    got = corpus_pipeline.run(spark, SF)
-    rows = {(r.doc_id, tuple(r.ids)) for r in got.collect()}
-    assert got.count() == d.count() and set(want) <= rows
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    text = "the house stands on the hill and the road goes down to the river " * 4
+    rows = [(None, None, None, None)] * 2 + [(7, text, "en", None), (7, text, "en", None), (7, text + "near the old mill where nobody has lived since", "en", "s"), (None, "", "en", "s"), (None, text, "en", "s")]
+    spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, __id int, __near int, p int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and all(r.round_trip for r in got)
+
+
+def test_language_rejection_and_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 4000) if k % 2 else " ".join(rng.choice(("le", "chat", "noir", "dort", "sur", "la", "table")) for _ in range(30)), "xx" if k % 2 else "fr") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample(docs)
+    assert {g for _, g in sample} == {"xx", "fr"} and max(len(t) for t, _ in sample) <= langid.MOST_CHARS
+    model = langid.fit(sample)
+    assert [r[:1] for r in model.predict_many([t for _, t, _ in rows])] == [(g,) for _, _, g in rows]
+    texts = ["", None, "ЖЩЫ бвгд " * 20, rows[0][1]]
+    assert [m[2] for m in model.predict_many(texts)] == [False, False, False, True]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2] == b[2] for a, b in zip(model.predict_many(texts), map(model.predict, texts), strict=True))

@@ -6,8 +6,9 @@ sample of its labelled rows; a text gets the language of the centroid of greates
 text is accepted if that cosine is no lower than what pieces of known texts of its length reach,
 less a margin; else it is rejected as no text of a known language.
 
-The model is fitted on a sample: for each language the rows with the smallest hashes of their id, PER_LANGUAGE at
-most, MOST_ROWS in all, none longer than MOST_CHARS code points; so the driver holds 80 MB at most.
+The model is fitted on a bounded sample: for each language the rows with the smallest hashes of their id,
+PER_LANGUAGE at most and one at least, MOST_ROWS in all (or one a language, if there are more of them), and of
+each a window of MOST_CHARS code points at a hashed place; so the driver holds about 300 MB at most.
 Predictions use whole texts and nothing but the text.
 
 Defined results: a null text or one without a letter is `und` with score 0.0 and not accepted; a null id
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import read
 
 SIZE = 1 << 13
-PER_LANGUAGE, MOST_ROWS, MOST_CHARS = 300, 4000, 20_000
+PER_LANGUAGE, MOST_ROWS, MOST_CHARS = 300, 4000, 4000
+#: Texts that are compared with all centroids in one matrix product.
+BATCH = 256
 CLUSTERS, MARGIN = 3, 0.5
 LETTER = re.compile(r"[^\W\d_]")
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -71,9 +74,23 @@ class Model:
         if text is None or not self.languages or not LETTER.search(text):
             return "und", 0.0, False
         cosines = self.centroids @ self.vector(text)
+        return self.judged(cosines, len(text))
+
+    def judged(self, cosines: np.ndarray, length: int) -> tuple[str, float, bool]:
         k = int(np.argmax(cosines))
         score = float(min(max(cosines[k], 0.0), 1.0))
-        return self.languages[k], score, score >= self.least[bucket(len(text))]
+        return self.languages[k], score, bool(score >= self.least[bucket(length)])
+
+    def predict_many(self, texts: list) -> list[tuple[str, float, bool]]:
+        """predict of each text, BATCH of them in one matrix product."""
+        out = [("und", 0.0, False)] * len(texts)
+        real = [i for i, t in enumerate(texts) if t is not None and self.languages and LETTER.search(t)]
+        for at in range(0, len(real), BATCH):
+            part = real[at : at + BATCH]
+            v = np.stack([self.vector(texts[i]) for i in part])
+            for i, cosines in zip(part, v @ self.centroids.T, strict=True):
+                out[i] = self.judged(cosines, len(texts[i]))
+        return out
 
 
 def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -95,9 +112,9 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, margin: float = M
     rows = sorted(((t, g) for t, g in rows if LETTER.search(t)), key=lambda r: (r[1], r[0]))
     if not rows:
         return Model([], np.zeros((0, SIZE)), np.ones(SIZE), np.zeros(14))
-    tf = np.stack([np.log1p(counts(t)) for t, _ in rows])
+    tf = np.stack([np.log1p(counts(t)).astype(np.float32) for t, _ in rows])
     model = Model([], np.zeros((0, SIZE)), np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1, np.zeros(14))
-    v = tf * model.idf
+    v = tf * model.idf.astype(np.float32)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     names = np.array([g for _, g in rows])
     parts = []
@@ -124,14 +141,16 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, margin: float = M
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """Labelled rows of the learning folds. Counts of each language set a bar that ids' hashes must stay under."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    n = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_ROWS // 10).collect()}
+    n = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not n:
         return []
     per_language = max(1, min(per_language, MOST_ROWS // len(n)))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(1 << 40)) / float(1 << 40)
-    bars = F.create_map(*[x for g, c in n.items() for x in (F.lit(g), F.lit(min(1.0, 1.5 * per_language / c)))])
-    rows = known.where((draw < bars[F.col(lang_col)]) & (F.length(text_col) <= MOST_CHARS)).select(draw.alias("d"), F.col(text_col), F.col(lang_col))
-    rows = rows.orderBy("d", F.xxhash64(text_col)).limit(2 * MOST_ROWS).collect()
+    bars = F.create_map(*[x for g, c in n.items() for x in (F.lit(g), F.lit(min(1.0, (1.5 * per_language + 20) / c)))])
+    start = F.pmod(F.xxhash64(F.col(text_col)), F.greatest(F.length(text_col) - MOST_CHARS, F.lit(0)) + 1).cast("int") + 1
+    window = F.substring(F.col(text_col), start, F.lit(MOST_CHARS))
+    rows = known.where(draw < bars[F.col(lang_col)]).select(draw.alias("d"), window.alias("t"), F.col(lang_col))
+    rows = rows.orderBy("d", F.xxhash64("t")).limit(2 * len(n) * (per_language + 20)).collect()
     taken, out = dict.fromkeys(n, 0), []
     for _, t, g in rows:
         if taken[g] < per_language:
@@ -147,7 +166,7 @@ def predictor(spark, model: Model):
     @F.pandas_udf("lang string, score double, accepted boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         m = Model(*sent.value)
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score", "accepted"])
+        return pd.DataFrame(m.predict_many(list(texts)), columns=["lang", "score", "accepted"])
 
     return predict
 
@@ -162,4 +181,5 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the model accepts."""
     predict = predictor(spark, fit(sample(docs)))
-    return docs.withColumn("__p", predict("text")).where("__p.accepted").drop("__p")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict("text").alias("p")).where("p.accepted")
+    return d.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -3,8 +3,12 @@
 Numbers and dates that pass their checks (Luhn for cards, octets for addresses, calendar for dates,
 digit counts for phones) are permuted by a keyed Feistel network within their own format, so a card
 stays a valid card, a date a date, and equal values stay equal in every document; other values of
-another key or format never meet. Mail names and hexadecimal secrets are no numbers: their
-characters are replaced by keyed digests of the same length and alphabet.
+another key or format never meet. The characters of mail names and hexadecimal secrets are permuted by the same
+kind of network, each within its own alphabet (lower case, upper case, digits; hexadecimal digits); marks in
+mail names stay, and so does the mail's domain.
+
+The key is the session's setting twinspark.pseudonyms.key; where it is unset, a random one of this application
+is used, so that nobody can undo the pseudonyms and no two applications share them.
 
 Defined results: a null text stays null with counts of 0; a text without personal data stays as it is;
 a digit string that fails its check stays as it is; rows that repeat an id are treated each alone.
@@ -12,12 +16,15 @@ a digit string that fails its check stays as it is; rows that repeat an id are t
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, read
 
-KEY, ROUNDS = "twinspark", 8
+ROUNDS = 8
+_drawn: dict[str, str] = {}
 
 #: The formats looked for. The order decides between formats at one place.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -32,11 +39,15 @@ ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 
 
+def session_key(spark) -> str:
+    return spark.conf.get("twinspark.pseudonyms.key", None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
 def _digest(of: Column, bits: int = 52) -> Column:
     return F.conv(F.substring(F.sha2(of.cast("binary"), 256), 1, bits // 4), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, key: str, rounds: int = ROUNDS) -> Column:
     """struct<l, r>: a keyed permutation of the pairs in [0, left_size) x [0, right_size).
 
     Even rounds add a digest of r to l, odd rounds one of l to r; each can be undone, so pairs never meet.
@@ -51,7 +62,7 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), step)
 
 
-def digits_permuted(digits: Column, tweak: Column, key: str = KEY) -> Column:
+def digits_permuted(digits: Column, tweak: Column, key: str) -> Column:
     """A digit string (2 to 36 digits) permuted among those of its length."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
@@ -112,30 +123,59 @@ def _date(x: Column, key: str) -> Column:
     return let(day, lambda d: F.when(d.between(0, DAYS - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved(d).cast("int")), "yyyy-MM-dd")))
 
 
-def _stretched(x: Column, alphabet: str, key: str, tag: str) -> Column:
-    """As many characters of `alphabet` (16 of them) as x has, from keyed digests."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(x) / 64).cast("int")), lambda i: F.sha2(F.concat(F.lit(f"{key}|{tag}|"), i.cast("string"), F.lit("|"), x).cast("binary"), 256))
-    return F.translate(F.substring(F.array_join(blocks, ""), F.lit(1), F.length(x)), "0123456789abcdef", alphabet)
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def characters_permuted(x: Column, alphabets: list[str], tag: str, key: str, rounds: int = ROUNDS) -> Column:
+    """x with each character permuted within the alphabet it is of; others stay.
+
+    A Feistel network of both halves: rounds in turn move the characters of one by a keyed digest of the other.
+    """
+
+    def moved(half: Column, other: Column, k: Column) -> Column:
+        tagged = F.concat(F.lit(f"{key}|{tag}|"), F.length(x).cast("string"), F.lit("|"), k.cast("string"), F.lit("|"))
+        digests = F.transform(F.sequence(F.lit(0), F.floor(F.length(half) / 16).cast("int")), lambda b: F.sha2(F.concat(tagged, b.cast("string"), F.lit("|"), other).cast("binary"), 256))
+
+        def shifted(d: Column) -> Column:
+            def char(c: Column, i: Column) -> Column:
+                by = F.conv(F.substring(F.get(d, F.floor(i / 16).cast("int")), (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                out = c
+                for a in alphabets:
+                    at = F.call_function("locate", c, F.lit(a))
+                    out = F.when(at > 0, F.substring(F.lit(a), F.pmod(at - 1 + by, F.lit(len(a))) + 1, F.lit(1))).otherwise(out)
+                return out
+
+            return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), char), "")
+
+        return let(digests, shifted)
+
+    def step(p: Column, k: Column) -> Column:
+        return F.struct(F.when(k % 2 == 0, moved(p["l"], p["r"], k)).otherwise(p["l"]).alias("l"), F.when(k % 2 == 1, moved(p["r"], p["l"], k)).otherwise(p["r"]).alias("r"))
+
+    half = F.floor(F.length(x) / 2).cast("int")
+    start = F.struct(F.substring(x, F.lit(1), half).alias("l"), F.substring(x, half + 1, F.length(x)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda p: F.concat(p["l"], p["r"]))
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """struct<kind, value> for one found string; kind is null, and the value as it was, where a check fails."""
     local = F.substring_index(x, "@", 1)
     is_ = lambda kind: x.rlike(f"^(?:{FORMATS[kind]})$")
     made = (
-        F.when(F.contains(x, F.lit("@")), F.struct(F.lit("mail").alias("kind"), F.concat(_stretched(local, "abcdefghijklmnop", key, "mail"), F.substring(x, F.length(local) + 1, F.length(x))).alias("value")))
+        F.when(F.contains(x, F.lit("@")), F.struct(F.lit("mail").alias("kind"), F.concat(characters_permuted(local, [LOWER, UPPER, DIGITS], "mail", key), F.substring(x, F.length(local) + 1, F.length(x))).alias("value")))
         .when(is_("date"), F.struct(F.lit("date").alias("kind"), _date(x, key).alias("value")))
         .when(is_("address"), F.struct(F.lit("address").alias("kind"), _address(x, key).alias("value")))
         .when(is_("identity"), F.struct(F.lit("identity").alias("kind"), refilled(x, digits_permuted(only_digits(x), F.lit("identity"), key)).alias("value")))
         .when(F.startswith(x, F.lit("+")), F.struct(F.lit("phone").alias("kind"), _phone(x, key).alias("value")))
         .when(is_("card"), F.struct(F.lit("card").alias("kind"), _card(x, key).alias("value")))
-        .otherwise(F.struct(F.lit("secret").alias("kind"), F.when(x.rlike("[A-F]"), F.upper(_stretched(x, "0123456789abcdef", key, "secret"))).otherwise(_stretched(x, "0123456789abcdef", key, "secret")).alias("value")))
+        .otherwise(F.struct(F.lit("secret").alias("kind"), F.when(x.rlike("[A-F]"), characters_permuted(x, ["0123456789ABCDEF"], "secret", key)).otherwise(characters_permuted(x, ["0123456789abcdef"], "secret", key)).alias("value")))
     )
     return let(made, lambda m: F.struct(F.when(m["value"].isNotNull(), m["kind"]).alias("kind"), F.coalesce(m["value"], x).alias("value")))
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs' columns with text_col replaced, and struct `found`: number of values of each kind."""
+    key = key or session_key(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda x: pseudonym(x, key))
 
@@ -146,8 +186,8 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Da
 
     nothing = F.struct(text.alias("text"), F.struct(*[F.lit(0).cast("long").alias(k) for k in FORMATS]).alias("found"))
     out = F.when(text.rlike("[0-9]|@"), let(hits, rebuilt)).otherwise(nothing)
-    d = docs.withColumn("__out", out)
-    return d.select(*[F.col("__out.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__out.found").alias("found"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), out.alias("out"))
+    return d.select(*[F.col("out.text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns], F.col("out.found").alias("found"))
 
 
 def op7_pseudonyms(spark, sf_dir: str) -> DataFrame:
