@@ -300,11 +300,11 @@ def plain_fingerprint(spark, texts):
         for i in range(len(t) - 7):
             h = 0
             for c in t[i : i + 8]:
-                h = ((h << 1 | h >> 63) & ones) ^ (table[c] & ones)
+                h = (h << 1 & ones) ^ (table[c] & ones)
             runs.append(h)
         out = []
         for i in range(max(1, len(runs) - 7)):
-            at = min(range(i, min(i + 8, len(runs))), key=lambda k: (runs[k] >> 32, -k))
+            at = min(range(i, min(i + 8, len(runs))), key=lambda k: (runs[k] >> 31 & (1 << 32) - 1, -k))
             if (runs[at], at) not in out:
                 out.append((runs[at], at))
         return out
@@ -325,7 +325,7 @@ def test_fingerprints_against_plain_winnowing(spark, tmp_path):
     spark.createDataFrame([*zip(ids, texts, strict=True), (None, "of no id"), (None, None)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     edits = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
     marks = plain_fingerprint(spark, texts + edits)
-    show = lambda m: " ".join(f"{h:x}@{at}" for h, at in m)
+    show = lambda m: "[" * bool(m) + ", ".join(f"{{{h - (h >> 63 << 64)}, {at}}}" for h, at in m) + "]" * bool(m)
     got = {r.doc_id: r for r in fingerprint.op10_fingerprints(spark, str(tmp_path)).collect()}
     for k, i in enumerate(ids):
         own, edited, after = marks(texts[k]), marks(edits[k]), marks(texts[(k + 1) % len(texts)])
