@@ -1,6 +1,6 @@
 import pytest
 
-from twinspark.plans import cases, catalogue  # noqa: F401
+from twinspark.plans import cases, catalogue, judged  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

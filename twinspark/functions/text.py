@@ -143,3 +143,67 @@ def ignored(path: Column | str, patterns: list[str]) -> Column:
         else:
             hit = hit | F.startswith(p, F.lit(bare)) | p.rlike("^" + glob_pattern(x)) | last.rlike("^" + glob_pattern(x))
     return hit
+
+
+#: Endings that only the guess knows, marks of languages in their order, words that name no function, hosts of repositories.
+FURTHER_EXTENSIONS = {".cjs": "javascript", ".cc": "cpp", ".cxx": "cpp"}
+MARKS = {
+    "python": ["def ", "import ", "from ", "elif ", "self"],
+    "javascript": ["function ", "const ", "let ", "=>", "console.log"],
+    "typescript": ["interface ", "type ", ": string", ": number", "implements "],
+    "go": ["package ", "func ", "fmt.", "err != nil"],
+    "rust": ["fn ", "let mut ", "impl ", "pub fn ", "match "],
+    "java": ["public class ", "public static ", "system.out", "private "],
+    "ruby": ["def ", "end", "puts ", "class "],
+    "cpp": ["#include <", "std::", "::", "cout", "vector<"],
+    "c": ["#include <", "printf(", "malloc(", "free("],
+}
+KEYWORDS = (
+    "async await if else for while do switch case return try catch finally throw new delete typeof instanceof void in of const let var "
+    "function class extends super import export default from as yield true false null undefined this"
+).split()
+HOSTS = ("github", "gitlab")
+
+
+def guessed_language(code: Column | str, path: Column | str) -> Column:
+    """By the ending of the path, else the language of most marks in the code, the first on ties; python without any."""
+    endings = F.create_map(*[F.lit(x) for kv in (EXTENSIONS | FURTHER_EXTENSIONS).items() for x in kv])
+    low = F.lower(F.coalesce(col(code), F.lit("")))
+    score = lambda marks: sum((F.contains(low, F.lit(m)).cast("int") for m in marks), F.lit(0))
+    best = F.array_max(F.array(*[F.struct(score(marks).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, marks) in enumerate(MARKS.items())]))
+    return F.coalesce(endings[F.lower(F.regexp_extract(col(path), r"[^/](\.[^./]+)$", 1))], best["name"])
+
+
+def names_a_function(name: Column | str, lines: Column | str) -> Column:
+    """Whether an extracted name stands: no keyword, and no one-liner that begins with an underscore."""
+    return ~col(name).isin(*KEYWORDS) & ~((col(lines) < 2) & F.startswith(col(name), F.lit("_")))
+
+
+def remote_parts(url: Column | str) -> Column:
+    """struct<host, owner, repo> of a repository's address, by SSH or by HTTPS, or null."""
+    out = None
+    for host in HOSTS:
+        for form in (rf"^git@[^:]*{host}[^:]*:(.+?)/(.+?)(?:\.git)?$", rf"^https?://{host}\.com/(.+?)/(.+?)(?:\.git)?$"):
+            parts = F.struct(F.lit(host).alias("host"), F.regexp_extract(col(url), form, 1).alias("owner"), F.regexp_extract(col(url), form, 2).alias("repo"))
+            out = F.when(col(url).rlike(form), parts) if out is None else out.when(col(url).rlike(form), parts)
+    return out
+
+
+def default_consent(visibility: Column | str) -> Column:
+    return F.when(col(visibility) == "public", "public").otherwise("private")
+
+
+def sends_code(consent: Column | str, visibility: Column | str) -> Column:
+    """Code leaves only if both the consent and the repository are public; else features alone."""
+    return F.coalesce((col(consent) == "public") & (col(visibility) == "public"), F.lit(False))
+
+
+def labelled_type(syntactic: Column | str, likeness: Column | str) -> Column:
+    """Clone type of a labelled pair: by its syntactic type, from type 3 on by the likeness of its tokens."""
+    return F.when(col(syntactic) == 1, "type1").when(col(syntactic) == 2, "type2").when(col(likeness) >= 0.5, "type3").otherwise("type4")
+
+
+def section(reuse: Column | str, severity: Column | str, a: Column | str, b: Column | str) -> Column:
+    """Section of a report: pairs of two languages apart, others by severity; `a` and `b` are languages, null for groups."""
+    apart = (col(reuse) == "reference_only") | ((col(reuse) == "cross_service_reference") & (col(a) != col(b)))
+    return F.when(apart, "cross_language").when(col(severity) == "extract", "extract").otherwise("review")
