@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinspark.llm import fingerprint, langid, licences, lines, mixing, neardup, pieces, pseudonyms, quality, queries, repeats, suffixes
+from twinspark.llm import batches, fingerprint, langid, licences, lines, mixing, neardup, pieces, pseudonyms, quality, queries, repeats, suffixes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, component string"
@@ -505,3 +505,9 @@ def test_language_rejection_and_long_texts(spark):
     texts = ["", None, "ЖЩЫ бвгд " * 20, rows[0][1]]
     assert [m[2] for m in model.predict_many(texts)] == [False, False, False, True]
     assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2] == b[2] for a, b in zip(model.predict_many(texts), map(model.predict, texts), strict=True))
+
+
+def test_workers_get_small_batches(spark, folder):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    neardup.op6_neardup(spark, folder).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == batches.ROWS_AT_ONCE <= 1000

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
+#: Rows a batch that Spark hands over. Its own 10,000 take some 100 MB in the JVM and again in the worker.
+ROWS_AT_ONCE = 1000
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,6 +23,13 @@ _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _powers = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand over ROWS_AT_ONCE rows at most at a time, from now on in this session; fewer if it does so already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 ... base^(n-1) modulo 2^64; kept, grown by doubling."""
     have = _powers.get(base, np.ones(1, np.uint64))

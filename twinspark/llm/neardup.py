@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..storage import dropped, written
-from .batches import mixed, parts, word_hashes
+from .batches import mixed, parts, small_batches, word_hashes
 from .common import WORD, let, read
 
 BANDS, ROWS, MANTISSA = 25, 5, 10
@@ -220,6 +220,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """Per row: doc_id, th (hash of its text), n_shingles, component_id, first (whether id and text are the first of the component)."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("th"))
     sigs = written(d.mapInArrow(_signatures(width), "doc_id long, th long, n long, s1 long, s2 long, regs array<short>"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
@@ -232,8 +233,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("id")
     wanted = classes.join(members, "rep", "left_semi").select(key("place.doc_id"), F.col("place.th").alias("th"), "rep", "regs")
     texts = d.select(key("doc_id"), "th", "text").join(wanted, ["id", "th"])
-    texts = texts.groupBy("id", "th", "rep").agg(F.first("text").alias("text"), F.first("regs").alias("regs"))
+    # written first: an executor that joins texts has no memory to spare for workers and their batches
+    texts = written(texts.groupBy("id", "th", "rep").agg(F.first("text").alias("text"), F.first("regs").alias("regs")))
     sets = written(texts.select("rep", "text", "regs").mapInArrow(_sets(width), "rep long, regs array<short>, items array<long>").select("rep", F.size("items").cast("long").alias("n"), "regs", "items"))
+    dropped(texts)
     parts_ = linked(sets, percent)
     dropped(sets)
 
