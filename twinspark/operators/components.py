@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     so a node of many edges is no burden), then jumps to the label of that label; a chain of n nodes
     settles in about log n rounds. Each round is written, so a lost executor costs one round.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))  # read twice
     e = written(e.union(e.select("v", "u")).distinct())
     labels = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:
