@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -45,22 +48,133 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def close_pairs(vectors: DataFrame, threshold: Column | float, key: str = "vec_id", vector: str = "embedding", extra: list[str] = (), blocks: int = 8) -> DataFrame:
-    """Pairs of unit vectors whose cosine reaches the threshold, exact, by a grid of blocks.
+#: Vectors a block, about, from BLOCK * CELLS of them on; before, blocks on a side of the grid and least vectors a block.
+BLOCK, CELLS, LEAST_BLOCK = 32_768, 8, 1024
+#: Rows of a block that meet the other block at once; bytes of their products.
+TILE = 1 << 25
 
-    Every vector is sent to the row and the column of its block in a grid of blocks x blocks; each cell
-    compares one block with another, so the work spreads over blocks^2 / 2 cells and no task holds more than two blocks.
+
+def block_count(n: int) -> int:
+    return max(1, min(CELLS, -(-n // LEAST_BLOCK)), -(-n // BLOCK))
+
+
+def close_in(a: np.ndarray, b: np.ndarray, bar_a: np.ndarray, bar_b: np.ndarray):
+    """(i, j, cosine) in pieces, of rows a[i] and b[j] (float64) whose product reaches the lesser of their bars.
+
+    Products in float32 select candidates, with a margin above their rounding; each candidate's
+    product is then summed in float64, coordinate by coordinate, as `dot` does. NaN counts as reaching any bar.
+    """
+    with np.errstate(all="ignore"):
+        fa, fb = a.astype(np.float32), b.astype(np.float32)
+        size = lambda x: np.sqrt((x * x).sum(axis=1))
+        sa, sb = size(a), size(b)
+        most, ta, tb = sb.max(initial=0.0), np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+        least, barless = bar_b.min(initial=np.inf), np.isinf(bar_a).any() and np.isinf(bar_b).any()
+        width = max(1, TILE // 4 // max(1, len(b)))
+        for at in range(0, len(a), width):
+            part = slice(at, at + width)
+            margin = (a.shape[1] + 8) * 2.0**-22 * sa[part] * most + 1e-30
+            floor = np.minimum(bar_a[part], least) - margin
+            i, j = np.nonzero(~((fa[part] @ fb.T) < floor.astype(np.float32)[:, None]))
+            if barless:
+                has = np.minimum(bar_a[part][i], bar_b[j]) < np.inf
+                i, j = i[has], j[has]
+            for k in range(0, len(i), 1 << 18):
+                x, y = i[k : k + (1 << 18)] + at, j[k : k + (1 << 18)]
+                total = np.zeros(len(x))
+                for c in range(a.shape[1]):
+                    total += ta[c][x] * tb[c][y]
+                hit = ~(total < np.minimum(bar_a[x], bar_b[y]))
+                yield x[hit], y[hit], total[hit]
+
+
+def _cell(reduce):
+    """Works on the rows of one cell: (side, key, bar, vector)."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        vectors = t.column("vector").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        side, key, bar = (t.column(c).to_numpy() for c in ("side", "key", "bar"))
+        n = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        for d in np.unique(n):
+            rows = np.flatnonzero(n == d)
+            m = values[starts[rows][:, None] + np.arange(d)]
+            l, r = (np.flatnonzero(side[rows] == s) for s in (0, 1))
+            lone = not side.any()  # a cell of a block with itself
+            r = l if lone else r
+            yield from reduce(key[rows[l]], key[rows[r]], lone, close_in(m[l], m[r], bar[rows[l]], bar[rows[r]]))
+
+    return run
+
+
+def _listed(left, right, lone, found):
+    for i, j, cosine in found:
+        x, y = left[i], right[j]
+        keep = x < y if lone else x != y
+        x, y = x[keep], y[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(cosine[keep])], names=["a", "b", "cosine"])
+
+
+def _forest(left, right, lone, found):
+    """A row for each key with a pair: the least key that the cell's pairs connect it with, pairs it is the lesser key of, their greatest cosine."""
+    keys, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    left, right = at[: len(left)], at[len(left) :]
+    label, links, best = np.arange(len(keys)), np.zeros(len(keys), np.int64), np.full(len(keys), -np.inf)
+    seen = np.zeros(len(keys), bool)
+    for i, j, cosine in found:
+        x, y = left[i], right[j]
+        keep = x < y if lone else x != y
+        x, y, cosine = np.minimum(x, y)[keep], np.maximum(x, y)[keep], cosine[keep]
+        seen[x] = seen[y] = True
+        links += np.bincount(x, minlength=len(keys))
+        np.maximum.at(best, x, cosine)
+        while (p := label[x] != label[y]).any():
+            x, y = x[p], y[p]
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+    rows = np.flatnonzero(seen)
+    score = pa.array(best[rows], mask=best[rows] == -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(keys[label[rows]]), pa.array(links[rows]), score], names=["a", "b", "links", "score"])
+
+
+def _over_grid(vectors: DataFrame, bar: Column | float, reduce, schema: str, key: str, vector: str, blocks: int | None) -> DataFrame:
+    bar = bar if isinstance(bar, Column) else F.lit(float(bar))
+    v = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    v = v.select(F.col(key).cast("long").alias("key"), F.coalesce(bar.cast("double"), F.lit(float("inf"))).alias("bar"), F.col(vector).cast("array<double>" if dict(vectors.dtypes)[vector] != "array<float>" else "array<float>").alias("vector"))
+    blocks = blocks or block_count(v.count())
+    v = v.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    # the cell of blocks i <= j has the number j * (j + 1) / 2 + i; a block is the left side of its row, the right of its column
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    cells = v.select("key", "bar", "vector", "block", other).select("key", "bar", "vector", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.expr("greatest(block, other) * (greatest(block, other) + 1) div 2").cast("int") + low).cast("int").alias("cell"))
+    return cells.repartitionById(blocks * (blocks + 1) // 2, F.col("cell")).select("side", "key", "bar", "vector").mapInArrow(_cell(reduce), schema)
+
+
+def close_pairs(vectors: DataFrame, threshold: Column | float, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """Pairs (a_key, b_key, cosine) of unit vectors whose cosine reaches the threshold, exact, by a grid of blocks.
+
+    A threshold that is a column holds for one vector; the lesser of two counts (null: the other's). Every vector is
+    sent to the cells of its block's row and column; a task multiplies the blocks of one cell. Blocks hold some 30,000
+    vectors, so tasks grow with the square of the input and none of them with the input. Keys are whole numbers.
+    """
+    p = _over_grid(vectors, threshold, _listed, "a long, b long, cosine double", key, vector, blocks)
+    return p.withColumnsRenamed({"a": f"a_{key}", "b": f"b_{key}"})
+
+
+def close_links(vectors: DataFrame, threshold: Column | float, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(a, b, links, score): what connects the pairs of close_pairs, a row at most for each vector and cell instead of one a pair.
+
+    b is the least vector that a is connected with inside a cell (a itself, if it is that); links counts the cell's
+    pairs of which a is the lesser key, and score is their greatest cosine. No link between components is lost.
     """
-    cols = [key, vector, *extra]
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    v = vectors.select(*cols, block.alias("block"))
-    a = v.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
-    b = v.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    p = a.join(b, ["i", "j"]).where((F.col("i") != F.col("j")) | (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    p = p.withColumn("cosine", dot(F.col(f"a_{vector}"), F.col(f"b_{vector}"))).where(F.col("cosine") >= threshold)
-    swap = F.col(f"a_{key}") > F.col(f"b_{key}")
-    both = [x for c in [key, *extra] for x in (F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}"), F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}"))]
-    return p.select(*both, "cosine")
+    return _over_grid(vectors, threshold, _forest, "a long, b long, links long, score double", key, vector, blocks)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:

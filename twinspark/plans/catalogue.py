@@ -197,8 +197,7 @@ def cosine_pairs(spark, sf_dir):
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({DOT}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {DOT} >= 0.25 + 0.01 * least(a.label, b.label)")
 def cosine_per_label(spark, sf_dir):
-    bar = F.lit(0.25) + F.lit(0.01) * F.least("a_label", "b_label")
-    p = pairs.close_pairs(table(spark, sf_dir, "embeddings"), bar, extra=["label"])
+    p = pairs.close_pairs(table(spark, sf_dir, "embeddings"), F.lit(0.25) + F.lit(0.01) * F.col("label"))
     return p.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), F.round("cosine", 4).alias("cosine"))
 
 
@@ -262,8 +261,7 @@ REACH = f"WITH RECURSIVE {EDGES}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a
 
 
 def close(spark, sf_dir: str) -> DataFrame:
-    p = pairs.close_pairs(table(spark, sf_dir, "embeddings"), 0.4)
-    return p.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), F.round("cosine", 4).alias("score"))
+    return pairs.close_links(table(spark, sf_dir, "embeddings"), 0.4).withColumn("score", F.round("score", 4))
 
 
 @query(f"{REACH} SELECT node, component FROM c")
