@@ -511,3 +511,10 @@ def test_workers_get_small_batches(spark, folder):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     neardup.op6_neardup(spark, folder).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == batches.ROWS_AT_ONCE <= 1000
+
+
+def test_tables_of_parts_are_bounded():
+    coder, plain = pieces.Coder(most=5), pieces.Coder()
+    texts = ["one two three four five six seven eight nine ten " * 3, "four nine two"]
+    assert [coder.encode(t) for t in texts] == [plain.encode(t) for t in texts]
+    assert len(coder.kept) <= 5 and len(coder.older) <= 5 < len(plain.kept)

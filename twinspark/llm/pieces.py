@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
 from .common import read
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Parts in each of the two tables of a worker; when the newer one is full it becomes the older one.
+#: Parts in each of the two tables of a worker, if nothing else is said; when the newer one is full it becomes the older one.
 KEPT = 400_000
 
 
 class Coder:
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, path: str = VOCABULARY, most: int = KEPT):
         import ahocorasick
         import sentencepiece
 
@@ -57,6 +58,7 @@ class Coder:
         self.alone = {c for c in "\n\t\r" if c not in known}
         stop = re.escape("".join(sorted(self.alone)))
         self.split = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + f"|[{stop}]" * bool(stop)).findall if apart else lambda s: [s]
+        self.most = most
         self.kept: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -102,7 +104,7 @@ class Coder:
                 if ids is None:
                     ids = self.older.get(x) or tuple(self.part(x))
                     if len(x) < 64:
-                        if len(kept) >= KEPT:
+                        if len(kept) >= self.most:
                             self.older, self.kept = kept, {}
                             kept = self.kept
                         kept[x] = ids
@@ -113,12 +115,12 @@ class Coder:
         return b"".join(map(self.table.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-def _coded(path: str, whole: bool):
+def _coded(path: str, whole: bool, most: int = KEPT):
     def run(batches):
-        coder = Coder(path)
+        coder = Coder(path, most)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids, same, digests = [], [], []
                 for text in part.column(1).to_pylist():
                     got = None if text is None else coder.encode(text)
@@ -131,10 +133,11 @@ def _coded(path: str, whole: bool):
     return run
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, whole: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, whole: bool = True, most: int = KEPT) -> DataFrame:
     """Per document: doc_id, ids (with whole, else their number), a digest of them, and whether decoding gives the text."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(_coded(vocabulary, whole), f"doc_id long, ids {'array<int>' if whole else 'long'}, ids_sha256 string, round_trip boolean")
+    return d.mapInArrow(_coded(vocabulary, whole, most), f"doc_id long, ids {'array<int>' if whole else 'long'}, ids_sha256 string, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -155,6 +158,6 @@ def op8_pieces(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix."""
-    out = encoded(docs)
+    """Token ids of every row of the mix. Smaller tables of parts: an executor still holds what the stages before took."""
+    out = encoded(docs, most=KEPT // 4)
     return out.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "round_trip")
