@@ -518,3 +518,14 @@ def test_tables_of_parts_are_bounded():
     texts = ["one two three four five six seven eight nine ten " * 3, "four nine two"]
     assert [coder.encode(t) for t in texts] == [plain.encode(t) for t in texts]
     assert len(coder.kept) <= 5 and len(coder.older) <= 5 < len(plain.kept)
+
+
+def test_edited_marks_from_both_texts(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    rows = [(k, some(m), some(q), some(rng.randrange(40))) for k, (m, q) in enumerate([(0, 0), (0, 70), (5, 61), (28, 60), (29, 59), (30, 100), (200, 64), (200, 0), (90, 20), (61, 300)])]
+    rows += [(99, "a" * 100, "a" * 100, "a")]
+    d = spark.createDataFrame(rows, "k int, h string, g string, more string")
+    d = d.select("*", fingerprint.chosen(F.concat("h", "more")).alias("old"), fingerprint.chosen(F.concat("g", "more")).alias("new"), F.concat("h", "g").alias("t"))
+    d = d.select("k", fingerprint.rewinnowed(F.col("old"), F.length("h"), F.col("t"), F.col("new")).alias("got"), fingerprint.chosen(F.col("t")).alias("want"))
+    assert [r.k for r in d.collect() if r.got != r.want] == []
